@@ -135,3 +135,20 @@ def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
     closing = over.groupBy("source").agg(F.min(F.struct("miss", "rank", "doc_id", "row")).alias("last")).select("source", F.col("last.row").alias("closing"))
     taken = F.col("size") * (F.col("whole") + F.col("extra") + F.coalesce((F.col("row") == F.col("closing")).cast("long"), F.lit(0)))
     return _with(ranked, closing, how="left").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+
+
+def mix_rows(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
+    """``docs`` as the mix takes it: each row as often as its copies say, with its own columns.
+
+    Rows that agree in id, source and words share their copies evenly: the first ones, in no order, get the odd copy.
+    """
+    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    taken = pareto_mix(docs, bias).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum(F.expr("taken div size")).alias("copies"))
+    taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies")
+    rows = docs.withColumn("row_size", size)
+    match = rows["doc_id"].cast("long").eqNullSafe(taken["mix_id"]) & rows["source"].cast("string").eqNullSafe(taken["mix_source"]) & (rows["row_size"] == taken["mix_size"])
+    joined = rows.join(taken, match)
+    alike = Window.partitionBy("mix_id", "mix_source", "mix_size")
+    return joined.withColumn("alike", F.count("*").over(alike)).withColumn("nth", F.row_number().over(alike.orderBy(F.xxhash64("text")))).withColumn(
+        "times", F.expr("copies div alike + if(nth <= copies % alike, 1, 0)")
+    ).withColumn("copy", F.explode(F.expr("if(times > 0, sequence(1, cast(times as int)), array())"))).select(*docs.columns)

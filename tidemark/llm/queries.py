@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import audio_fingerprints, context_mixing, factor_quality, personal_data
 from tidemark.llm.best_fit_packing import pack
 from tidemark.llm.chat_format import digests, format_conversations, with_probe
-from tidemark.llm.common import table
+from tidemark.llm.common import fold, table
 from tidemark.llm.compression_bands import with_compression_verdict
 from tidemark.llm.minimax_shards import minimax_shards
 from tidemark.llm.near_dedup import near_duplicates
@@ -25,10 +27,21 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = factor_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = factor_quality.with_quality(docs, machine)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -45,13 +58,26 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_compression_verdict(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "verdict.*")
 
 
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media column: the embeddings played as melodies; queries are the rows whose id 50 divides, against all rows."""
+    return audio_fingerprints.align_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.context_mixing_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_factor_quality": op2_factor_quality,
     "op3_pareto_mixing": op3_pareto_mixing,
+    "op4_personal_data": op4_personal_data,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_compression_bands": op8_compression_bands,
+    "op9_audio_fingerprints": op9_audio_fingerprints,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 #: None of the ten can be said whole in SQL (sketches, compressors, learned weights, hashes of Spark); tests hold them to brute force.
