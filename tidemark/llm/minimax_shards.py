@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, unsigned_crc
 
-BINS = 1 << 14
+BINS = 1 << 16
 OVERHEAD = 16
 HASH_BITS = 62
 
@@ -75,8 +75,8 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
 
     Items are bins of the hash order. Each round splits only the bins around the cuts, by up to BINS new items in all.
     """
-    shift = HASH_BITS - 14
-    items = sorted((r["lo"], r["hi"], r["bytes"]) for r in _histogram(groups, 0, shift).toLocalIterator())
+    shift = HASH_BITS - 16
+    items = sorted((r["lo"], r["hi"], r["bytes"]) for r in _histogram(groups, 0, shift).collect())
     if not items:
         return [0] * (shards - 1)
     while True:
@@ -89,7 +89,7 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
         shift = max(0, shift - step)
         spans = [(items[k][0], items[k][1]) for k in near]
         inside = groups.where(" or ".join(f"h between {lo} and {hi}" for lo, hi in spans))
-        fresh = [(r["lo"], r["hi"], r["bytes"]) for r in _histogram(inside, 0, shift).toLocalIterator()]
+        fresh = [(r["lo"], r["hi"], r["bytes"]) for r in _histogram(inside, 0, shift).collect()]
         gone = set(near)
         items = sorted([x for k, x in enumerate(items) if k not in gone] + fresh)
 
