@@ -206,7 +206,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, keep_
         _cut_up(path, length, end, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>"
     )
     made = cut(made.withColumn("row", F.monotonically_increasing_id()))
-    counts = {r["length"]: r["count"] for r in made.groupBy("length").count().toLocalIterator()}  # a row a length
+    counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # a row a length
     histogram = np.zeros(length + 1, np.int64)
     for n, c in counts.items():
         if n < length:

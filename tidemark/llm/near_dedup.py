@@ -266,7 +266,7 @@ def _links(docs: DataFrame, clusters: DataFrame, percent: int, block: int) -> Da
     slot = F.expr(f"cast(pmod(xxhash64(node), {FILTER_BITS}) as long)")
     words = clusters.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
     have = np.zeros(FILTER_BITS // 64, np.uint64)  # fixed size: at most FILTER_BITS / 64 rows come here, whatever the corpus
-    for r in words.toLocalIterator():
+    for r in words.collect():
         have[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
     named = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").withColumn("slot", slot)
     sets = named.mapInArrow(_sets(have.tobytes()), "node long, shingles binary, registers binary")
