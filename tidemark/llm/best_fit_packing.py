@@ -25,7 +25,7 @@ from tidemark.llm.common import cut
 
 LENGTH, END = 1024, 2
 CACHE = 200_000
-RANK_CELL = 20_000
+RANK_CELL = 500
 _LOOSE_SPACE = re.compile(r" (?:\s|$)")
 
 

@@ -2,8 +2,8 @@
 
 score = sigmoid(b + sum w_i x_i + pairs), pairs = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2): all pairwise interactions in
 time linear in the features. Statistics of the text (shares of capitals, symbols, digits, repeats ...) are one-hot by bin, words are hashed;
-language, source, ids and labels are no features. The machine is fitted on a bounded sample of labelled rows (``SAMPLE``, the least hashes of
-their ids) and scores every whole text.
+language, source, ids and labels are no features. The machine is fitted on a sample of about ``SAMPLE`` labelled rows (a share of the hashes of
+their ids; twice as many at most) and scores every whole text.
 """
 
 from __future__ import annotations
@@ -109,9 +109,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold; they alone come to the driver."""
+    """Fit on about ``sample`` labelled rows outside the held-out fold; they alone come to the driver."""
     chosen = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id")) != 0)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
+    share = min(1.0, sample / max(1, chosen.count()))
+    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * sample).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
 
     @F.arrow_udf("index array<int>, value array<double>")
     def extract(texts: pa.Array) -> pa.Array:

@@ -26,6 +26,7 @@ SHARE, MAX_REPEAT = 1.5, 2.0
 LENGTH_BIAS = 0.15
 SEED = 20240501
 ROWS_PER_BIN = 1000
+FEW_SOURCES = 20_000
 
 
 def spread(total: float, weights: Iterable[float], limits: Iterable[float]) -> list[float]:
@@ -74,10 +75,10 @@ def copies(pdf: pd.DataFrame, bias: float, most: float) -> pd.DataFrame:
     return pdf.assign(copies=[min(most, high * h) for h in heft])[["source", "grade", "copies"]]
 
 
-def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the source; null equals null."""
+def _with(left: DataFrame, right: DataFrame, how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on the source; null equals null. ``small``: the right side, a row a source, is known to be within FEW_SOURCES."""
     right = right.withColumnRenamed("source", "their_source")
-    return left.join(right, left["source"].eqNullSafe(right["their_source"]), how).drop("their_source")
+    return left.join(F.broadcast(right) if small else right, left["source"].eqNullSafe(right["their_source"]), how).drop("their_source")
 
 
 def _uniform(*columns: str | Column) -> Column:
@@ -97,14 +98,15 @@ def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     ))
     aims = cut(targets(sizes))
+    few = aims.count() <= FEW_SOURCES
     graded = sizes.withColumn("grade", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1))
     grades = graded.groupBy("source", "grade").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    grades = _with(grades, aims).select("source", "grade", "words", "rows", "target")
+    grades = _with(grades, aims, small=few).select("source", "grade", "words", "rows", "target")
     plan = grades.groupBy("source").applyInPandas(lambda pdf: copies(pdf, bias, MAX_REPEAT), "source string, grade long, copies double")
     plan = cut(_with(plan, aims).select("source", "grade", "copies", "source_size", "target"))
     # at most 64 grades a source: joined on the source as one row each
     plan = plan.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("grade", "copies"))).alias("plan"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    drawn = _with(graded, plan).withColumn("copies", F.element_at("plan", F.col("grade"))).select(
+    drawn = _with(graded, plan, small=few).withColumn("copies", F.element_at("plan", F.col("grade"))).select(
         "doc_id", "source", "size", "row", "source_size", "target", F.floor(F.col("copies") + 1e-9).alias("whole"), "copies"
     )
     odds = lambda p: p / (1 - p)
@@ -119,10 +121,10 @@ def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
     need = _with(aims, whole).select("source", (F.col("target") - F.col("certain")).alias("need"))
     per_bin = drawn.where("open").groupBy("source", "bin").agg(F.sum("size").alias("words"))
     run = per_bin.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
-    cuts = _with(run, need).where("upto > need and upto - words <= need").select(
+    cuts = _with(run, need, small=few).where("upto > need and upto - words <= need").select(
         "source", F.col("bin").alias("cut_bin"), (F.col("need") - F.col("upto") + F.col("words")).alias("spare")
     )
-    marked = _with(drawn, cuts, how="left")  # one row a source at most
+    marked = _with(drawn, cuts, "left", few)  # one row a source at most
     inside = marked.where("open and bin = cut_bin")
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "row")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -131,10 +133,10 @@ def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
     ranked = cut(rest.unionByName(inside).drop("bin", "cut_bin", "spare", "open", "copies"))
     # of the documents past the cut, one goes in if it lands nearer to the target than none
     short = _with(need, ranked.groupBy("source").agg(F.sum(F.col("extra") * F.col("size")).alias("drawn"))).select("source", (F.col("need") - F.col("drawn")).alias("short"))
-    over = _with(ranked.where("extra = 0 and chance > 1e-9"), short).withColumn("miss", F.abs(F.col("size") - F.col("short"))).where("miss < short")
+    over = _with(ranked.where("extra = 0 and chance > 1e-9"), short, small=few).withColumn("miss", F.abs(F.col("size") - F.col("short"))).where("miss < short")
     closing = over.groupBy("source").agg(F.min(F.struct("miss", "rank", "doc_id", "row")).alias("last")).select("source", F.col("last.row").alias("closing"))
     taken = F.col("size") * (F.col("whole") + F.col("extra") + F.coalesce((F.col("row") == F.col("closing")).cast("long"), F.lit(0)))
-    return _with(ranked, closing, how="left").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return _with(ranked, closing, "left", few).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def mix_rows(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
