@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import registry
+from tidemark.operators import retrieval
+from tidemark.plans import graph_queries, registry, store_queries  # noqa: F401  they register
+from tidemark.sources.tables import memories
 
 
 def queries() -> dict[str, registry.Query]:
@@ -16,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return retrieval.recall(memories(spark, sf_dir), graph_queries.QUERY)
