@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import cut
+
 
 def cooccurrence(members: DataFrame, group: str, item: str) -> DataFrame:
     """``a, b, weight`` of unordered pairs of distinct items met in one group. Groups are small baskets here: pairs
@@ -38,3 +40,31 @@ def neighbours(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
         frontier = step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"))
         seen = seen.union(frontier)
     return seen
+
+
+def stats(edges: DataFrame) -> DataFrame:
+    nodes = edges.select("a").union(edges.select("b")).distinct().agg(F.count("*").alias("n_nodes"))
+    return edges.agg(F.count("*").alias("n_edges"), F.round(F.avg("weight"), 3).alias("mean_weight")).join(F.broadcast(nodes))  # one row each
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """``node, community``: the smallest node that can be reached. Every round passes the least label to the neighbours and
+    then jumps to the label's own label, so that long chains take few rounds; only a changed-flag comes to the driver."""
+    ways = cut(both_ways(edges).select("a", "b"))
+    label = cut(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("community")))
+    while True:
+        near = ways.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("community").alias("near"))
+        step = label.join(near, "node").select("node", F.col("community").alias("was"), F.least("community", "near").alias("mid"))
+        jump = step.select(F.col("node").alias("via"), F.col("mid").alias("far"))
+        # labels repeat, so each distinct one is looked up once; the label of a giant component is one key, which AQE splits
+        hop = step.select(F.col("mid").alias("via")).distinct().join(jump, "via")
+        moved = cut(step.join(hop, F.col("mid") == F.col("via")).select("node", "was", F.least("mid", "far").alias("community")))
+        changed = moved.where("community <> was").limit(1).count()
+        label = moved.select("node", "community")
+        if not changed:
+            return label
+
+
+def ego(edges: DataFrame, node: int, n: int) -> DataFrame:
+    """The strongest edges that touch a node."""
+    return edges.where((F.col("a") == node) | (F.col("b") == node)).orderBy(F.desc("weight"), "a", "b").limit(n)
