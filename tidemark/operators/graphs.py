@@ -31,13 +31,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
-    """``node, depth``: least number of steps from the seeds, up to ``depth``. Each step is one join with the frontier."""
-    ways = both_ways(edges)
+    """``node, depth``: least number of steps from the seeds, up to ``depth``. Each step is one join with the frontier, which
+    is written before the next one: uncut, the plan would double at every step."""
+    ways = cut(both_ways(edges).select("a", "b"))
     seen = seed.select("node", F.lit(0).alias("depth"))
     frontier = seen
     for d in range(1, depth + 1):
         step = ways.join(frontier, F.col("a") == F.col("node")).select(F.col("b").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"))
+        frontier = cut(step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth")))
         seen = seen.union(frontier)
     return seen
 
