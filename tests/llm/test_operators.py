@@ -17,7 +17,7 @@ from tidemark.llm.best_fit_packing import LENGTH, pack, plan
 from tidemark.llm.chat_template import TemplateError, compile_template
 from tidemark.llm.common import table
 from tidemark.llm.components import connected_components
-from tidemark.llm.compression_bands import with_compression_verdict
+from tidemark.llm.compression_bands import CHUNK, CHUNKS, chunks_of, with_compression_verdict
 from tidemark.llm.minimax_shards import minimax_shards, smallest_capacity
 from tidemark.llm.pareto_mix import mix_rows, pareto_mix, spread
 from tidemark.llm.queries import QUERIES, tokenizer_path
@@ -284,6 +284,22 @@ def test_rules(spark, odd):
         assert tuple(r.verdict)[:6] == want and not (want[5] and r.verdict.kept)
 
 
+def test_chunks_judge_every_byte(spark):
+    for n in (1, 127, 128, 255, 256, 383, 384, 2047, 2048, 3900, 4095, 4096, 5119, 5120, 6143, 20000):
+        parts = chunks_of(bytes(k % 251 for k in range(n)))
+        size = next(size for top, size in CHUNKS if n < top)
+        assert b"".join(parts) == bytes(k % 251 for k in range(n)) and all(len(p) < 1.5 * size for p in parts)
+        assert n < size or all(len(p) >= size / 2 for p in parts)
+    rng = random.Random(8)
+    prose = next(r.text for r in table(spark, SF, "documents").where("lang = 'en' and length(text) > 9000").orderBy("doc_id").collect() if r.text.isascii())
+    noise = "".join(rng.choice([chr(k) for k in range(33, 127)]) for _ in range(1400))
+    # texts below 4,096 bytes, and a tail that full chunks of CHUNK bytes do not reach
+    texts = [prose[:2500] + "so it goes " * 127, prose[:2500] + noise, prose[:3900], prose[:900] + "so it goes " * 50, prose[:CHUNK * 2] + "so it goes " * 180 + noise[:60], prose[: CHUNK * 3]]
+    got = with_compression_verdict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.verdict.bad_chunks > 0.3 * r.verdict.chunks for r in got} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False}
+    assert [r.doc_id for r in sorted(got) if r.verdict.kept] == [2, 5]
+
+
 def test_audio(spark):
     rng = np.random.default_rng(6)
     vectors = [(k, [float(x) for x in rng.normal(size=64)]) for k in range(60)] + [(100, [0.0] * 3), (101, []), (None, [1.0] * 64)]
