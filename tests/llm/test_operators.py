@@ -309,6 +309,27 @@ def test_audio(spark):
     assert all(r.bit_error < 0.1 for r in got)
 
 
+def test_audio_recall(spark):
+    """Every offset by brute force: queries so noisy that hardly an integer stays whole are found."""
+    rng = np.random.default_rng(16)
+    vectors = [[float(x) for x in rng.normal(size=64)] for _ in range(200)]
+    held = [audio_fingerprints.fingerprint(audio_fingerprints.melody(v)) for v in vectors]
+    asked = {(k, hiss): audio_fingerprints.fingerprint(audio_fingerprints.melody(vectors[k], *audio_fingerprints.QUERY_CUT, hiss=hiss)) for k in range(0, 200, 10) for hiss in (0.05, 0.5, 0.8, 1.0)}
+    least, truth = audio_fingerprints.MIN_OVERLAP, {}
+    for q, a in enumerate(asked.values()):
+        for r, b in enumerate(held):
+            for offset in range(least - len(a), len(b) - least + 1):
+                i, j = max(0, -offset), min(len(a), len(b) - offset)
+                error = np.bitwise_count(a[i:j] ^ b[i + offset : j + offset]).sum() / (32 * (j - i))
+                if error <= audio_fingerprints.MAX_ERROR and error < truth.get((q, r), (1, 0))[0]:
+                    truth[q, r] = (error, offset)
+    frame = lambda prints, name: spark.createDataFrame([(k, [int(x) for x in p.view(np.int32)]) for k, p in enumerate(prints)], f"{name} long, print array<int>")
+    got = {(r.query_id, r.match_id): (r.bit_error, r.offset) for r in audio_fingerprints.align(frame(asked.values(), "query_id"), frame(held, "rec_id")).collect()}
+    assert len(truth) >= 80 and set(got) <= set(truth)
+    assert sum(got.get(k) == v for k, v in truth.items()) >= 0.9 * len(truth)
+    assert all(got[q, k][1] == 24 for q, (k, _) in enumerate(asked))
+
+
 def test_language_model(spark, odd):
     docs = table(spark, SF, "documents").select("doc_id", "text").union(odd.where("doc_id is null or doc_id >= 0").select(F.col("doc_id") + 10000, "text"))
     count = collections.Counter()
