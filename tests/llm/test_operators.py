@@ -179,6 +179,17 @@ def test_bootstrap_finds_unseen(spark):
     assert got[50] == "card:22:38" and got[51] == ""
 
 
+def test_bootstrap_finds_other_shapes(spark):
+    phones = [f"please call +1 ({200 + k}) 555-{1000 + k} today" for k in range(12)]
+    cards = [f"my visa {v} expired" for v in ("4111111111111111", "5500000000000004", "4012888888881881", "4242424242424242", "5105105105105100", "6011111111111117", "3530111333300000", "6011000990139424", "4000056655665556")]
+    new = ["please call 555-123-4567 today", "please call (555) 123-4567 today", "my visa 4111 1111 1111 1112 expired", "counted 555-123-4568 and 4111 1111 1111 1113 there"]
+    docs = spark.createDataFrame(list(enumerate([*new, *phones, *cards])), "doc_id long, text string")
+    found = personal_data.find_personal_data(docs)
+    got = {r.doc_id: r.spans for r in personal_data.digests(found).collect()}
+    assert [got[k] for k in range(4)] == ["phone:12:24", "phone:12:26", "card:8:27", ""]
+    assert {r.doc_id: r.text for r in personal_data.redact(docs).collect()}[2] == "my visa <CARD> expired"
+
+
 def test_shards(spark, odd):
     for docs in (table(spark, SF, "documents"), odd):
         texts = collections.defaultdict(set)

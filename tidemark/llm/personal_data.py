@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, with built-in functions only.
 
-Seeds are the matches of four base patterns that pass their checks. Around seeds and around other tokens that look like identifiers, the
-words before and after, with the shape of the value, are lexical patterns. A pattern's confidence is the share of its distinct values that
+Seeds are the matches of four base patterns that pass their checks. The words before and after seeds
+and other tokens that look like identifiers, whatever their shape, are lexical patterns. A pattern's confidence is the share of its distinct values that
 are known, a value's confidence is the noisy-or over its patterns; both are scored in turn for a few rounds over the pattern-value
 graph of the whole corpus. Values that end confident enough are added as spans, with the kind their patterns point to. Base spans always stay.
 """
@@ -25,7 +25,14 @@ PATTERNS = {
 #: What a text must have for a pattern to match at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Up to eight groups of digits with a space between two of them, or else one token with a digit or an @.
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])(?:[\x21-\x2F\x3A-\x3F\x5B-\x60\x7B-\x7E]*+[0-9][0-9().+/-]*+(?:\x20\(?[0-9]{2}[0-9().-]*+(?![^\x20\x09-\x0D,;:!?\]\"'])){1,7}+[^\x20\x09-\x0D]*+"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
+#: What does not belong to a candidate: a plus before a number and an area code in brackets do.
+LEAD = r"^(?:(?![+(])\p{Punct}|\+(?![0-9(])|\((?![0-9]{1,5}\).))*+"
+TRAIL = r"\p{Punct}+$"
 EDGE = r"[\x20\x09-\x0D]"
 ROUNDS = 3
 MIN_VALUES, MIN_KNOWN, MIN_CONFIDENCE, ACCEPT = 5, 4, 0.8, 0.9
@@ -93,28 +100,24 @@ def _contexts(body: Column, span: Column) -> Column:
     return F.struct(_word(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$").alias("left"), _word(right, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)").alias("right"))
 
 
-def _shape(value: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a"), 1, 40)
-
-
 def _candidates(located: DataFrame, *keep: str) -> DataFrame:
-    """Adds ``seen``: base spans and identifier-like tokens (five digits or an @) off them, with their contexts."""
+    """Adds ``seen``: base spans and identifier-like tokens (five digits, in groups or not, or an @) off them, with their contexts."""
     out = located.withColumn("token", _places(F.col("body"), TOKEN, None))
-    core = F.transform("token", lambda t: F.struct((t["start"] + F.char_length(F.regexp_extract(t["value"], r"^\p{Punct}*", 0))).cast("int").alias("start"), F.regexp_replace(t["value"], r"^\p{Punct}+|\p{Punct}+$", "").alias("value")))
+    core = F.transform("token", lambda t: F.struct((t["start"] + F.char_length(F.regexp_extract(t["value"], LEAD, 0))).cast("int").alias("start"), F.regexp_replace(F.regexp_replace(t["value"], LEAD, ""), TRAIL, "").alias("value")))
     core = F.transform(core, lambda t: F.struct(F.lit(None).cast("int").alias("kind"), t["start"].alias("start"), (t["start"] + F.char_length(t["value"])).cast("int").alias("stop"), t["value"].alias("value")))
     out = out.withColumn("core", core)
     free = F.filter(
         "core", lambda t: (F.rlike(t["value"], F.lit("(?:[0-9][^0-9]*+){5}")) | F.contains(t["value"], F.lit("@"))) & ~F.exists("base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"]))
     )
-    seen = F.transform(F.concat("base", free.cast(SPAN)), lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["stop"].alias("stop"), F.lower(t["value"]).alias("value"), _shape(t["value"]).alias("shape"), _contexts(F.col("body"), t).alias("around")))
+    seen = F.transform(F.concat("base", free.cast(SPAN)), lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["stop"].alias("stop"), F.lower(t["value"]).alias("value"), _contexts(F.col("body"), t).alias("around")))
     return out.withColumn("seen", seen).select(*keep, "base", "seen")
 
 
 def _bootstrap(seen: DataFrame) -> DataFrame:
-    """``value, kind`` of the values found by patterns, from ``seen(kind, value, shape, left, right)`` of the whole corpus."""
+    """``value, kind`` of the values found by patterns, from ``seen(kind, value, left, right)`` of the whole corpus."""
     sides = F.array(F.struct(F.lit("before").alias("side"), F.col("left").alias("word")), F.struct(F.lit("after").alias("side"), F.col("right").alias("word")))
-    edges = seen.select("kind", "value", "shape", F.explode(sides).alias("c")).where("c.word <> ''")
-    edges = edges.groupBy(F.concat_ws(" ", "c.side", "c.word", "shape").alias("pattern"), "value").agg(F.max("kind").alias("kind"))
+    edges = seen.select("kind", "value", F.explode(sides).alias("c")).where("c.word <> ''")
+    edges = edges.groupBy(F.concat_ws(" ", "c.side", "c.word").alias("pattern"), "value").agg(F.max("kind").alias("kind"))
     # a pattern with fewer values or fewer seeds of every kind can never pass
     sums = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds"))
     live = sums.where((F.col("n") >= MIN_VALUES) & (F.col("seeds") >= MIN_KNOWN) & (F.col("n") > F.col("seeds"))).select("pattern", "n")
@@ -139,7 +142,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("code", code)
     made = cut(_candidates(_located(rows, "doc_id", "code"), "doc_id", "code"))
     each = made.select("code", F.explode("seen").alias("s"))
-    values = _bootstrap(each.select("s.kind", "s.value", "s.shape", "s.around.left", "s.around.right"))
+    values = _bootstrap(each.select("s.kind", "s.value", "s.around.left", "s.around.right"))
     fresh = each.where("s.kind is null").select("code", "s.*").join(values, "value").select("code", F.struct(F.col("found_kind").alias("kind"), "start", "stop", "value").alias("span"))
     fresh = fresh.groupBy("code").agg(F.collect_set("span").alias("more"))
     return made.join(fresh, "code", "left").select(
