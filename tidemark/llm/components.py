@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, join_counted
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node hangs its larger neighbours on its smallest one."""
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of every node ``a``, and how many neighbours it has."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every node hangs its larger neighbours on the smallest of itself and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = _least(both).select("a", F.least("m", "a").alias("m"), "n")
+    return join_counted(both.where("b > a"), least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node hangs itself and its smaller neighbours on the smallest of them. Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(edges)
+    moved = join_counted(edges, least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -27,10 +32,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
+    """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node. Nodes are of any ordered type.
 
-    Only a count and a checksum come to the driver. Every round is checkpointed, so a lost
-    executor repeats one round at most. Loops, repeated edges and nulls are dropped first;
+    Only a count and a checksum come to the driver. Every step is checkpointed, so a lost executor repeats one step at most. Nodes with very many
+    neighbours are joined by a broadcast of at most 2,000 rows (``join_counted``). Loops, repeated edges and nulls are dropped first;
     no edges give no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
@@ -39,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        large = cut(_large_star(edges, mark[0]))
+        edges = cut(_small_star(large, large.count()))
         before, mark = mark, _mark(edges)
         if mark == before:
             break

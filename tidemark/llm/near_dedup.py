@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes) and a HyperMinHash
    sketch: 256 buckets, each with the leading-zero count and ten mantissa bits of its smallest hash.
-   Copies with equal sets collapse into one node, the smallest doc_id.
+   Copies with equal sets collapse into one node.
 2. Empty buckets borrow from a filled one by a fixed random ranking, bands of registers give keys,
    and nodes sharing a key form candidate clusters (a star per key, then components; no pairs).
 3. Inside a cluster, blocks of at most ``block`` nodes meet pairwise; sketches give the Jaccard estimate,
@@ -10,7 +10,8 @@
    exact intersection counts. A block pair emits a spanning forest, never all its pairs.
 4. Components of the confirmed links give the classes.
 
-A pair at the threshold misses all bands with a chance of about 1e-6. Links are lost in no other way.
+A pair at the threshold misses all bands with a chance of about 1e-6, and two of n different rows share a 64-bit key with one of about n * n / 4e19.
+Links are lost in no other way. Keys that many rows share are joined by a broadcast of at most 1,000 rows (``join_counted``).
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import boxed, cut, join_counted, unboxed
 from tidemark.llm.components import connected_components
 from tidemark.llm.textkernel import batches, mix, shingle_set
 
@@ -33,7 +34,8 @@ BLOCK = 384
 #: Pairs whose corrected estimate is this far below the threshold are not confirmed: over seven standard errors.
 SLACK = 0.25
 COLUMNS = 4096
-FILTER_BITS = 1 << 22
+#: log2 of the bits of the filter that tells candidates from other texts.
+FILTER_LEAST, FILTER_MOST = 18, 27
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -89,8 +91,7 @@ def chance_matches(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def _sketched(rows: int):
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in:
-            ids = batch.column(0)
-            for row, stop, words in batches(batch.column(1)):
+            for row, stop, words in batches(batch.column(2)):
                 count, sig, regs = np.zeros(stop - row, np.int64), [None] * (stop - row), np.zeros((stop - row, BUCKETS), np.uint16)
                 for d in range(stop - row):
                     s = shingle_set(words.hash[words.first[d] : words.first[d + 1]], SHINGLE)
@@ -101,16 +102,16 @@ def _sketched(rows: int):
                 keys = band_keys(regs, rows).astype(np.int64)
                 width = keys.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, width, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, stop - row), pa.array(count), pa.array(sig, pa.string()), lists], names=["doc_id", "n_shingles", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, stop - row) for k in (0, 1)), pa.array(count), pa.array(sig, pa.string()), lists], names=["key", "doc_id", "n_shingles", "sig", "keys"])
 
     return run
 
 
-def _sets(bits: bytes):
-    """Sets and sketches of the documents whose id passes the candidate filter."""
-    have = np.frombuffer(bits, np.uint64)
+def _sets(sent):
+    """Sets and sketches of the documents whose key passes the candidate filter."""
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = sent.value
         for batch in batches_in:
             slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             take = (have[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
@@ -230,46 +231,82 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
+def _classes(docs: DataFrame, percent: int, block: int) -> DataFrame:
+    """``key, doc_id, n_shingles, node, component_id`` for every row of ``docs(key, doc_id, text)``; node and component are null without shingles.
 
-    Texts without words have an empty set and stand alone. Rows that share a doc_id are one
-    document. A row without a doc_id joins the class of rows with the very same set; without such a
-    row its component is null; it is kept only then. Columns other than doc_id and text are
-    ignored; an empty table gives no rows.
+    The key is a hash of the row's content. A node is a set of shingles, named by the smallest key of its rows. Rows that share a doc_id are linked.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = band_rows(percent / 100)
-    made = cut(docs.mapInArrow(_sketched(rows), "doc_id long, n_shingles long, sig string, keys array<long>"))
+    made = cut(docs.mapInArrow(_sketched(band_rows(percent / 100)), "key long, doc_id long, n_shingles long, sig string, keys array<long>"))
     full = made.where("sig is not null")
-    nodes = full.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    banded = nodes.select(F.col("rep").alias("node"), F.explode("keys").alias("key"))
-    leads = banded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    stars = banded.join(leads, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    nodes = cut(full.groupBy("sig").agg(F.min("key").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    rows, sets = (x or 0 for x in nodes.agg(F.sum("n"), F.count("*")).first())
+    placed = cut(join_counted(full.select("key", "doc_id", "n_shingles", "sig"), nodes.select("sig", "node", "n"), "sig", rows).select("key", "doc_id", "n_shingles", "node"))
+
+    banded = nodes.select("node", F.explode("keys").alias("band"))
+    leads = cut(banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    stars = join_counted(banded, leads, "band", sets * (BUCKETS // band_rows(percent / 100))).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     clusters = cut(connected_components(stars))
     links = _links(docs, clusters, percent, block)
-    classes = connected_components(links)
-    reps = nodes.select("sig", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    # rows that share an id but not a text are one document
-    placed = full.select("doc_id", "n_shingles", "sig").join(reps, "sig", "left").select("doc_id", "n_shingles", "component_id")
-    bare = made.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.union(bare).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+    several = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first <> last")
+    same_id = join_counted(placed.select("doc_id", "node"), several, "doc_id", rows).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    classes = connected_components(links.union(same_id))
+
+    named = cut(nodes.select("node", "least", F.col("n").alias("rows")).join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_counted(named.select("component", "node", "rows"), least, "component", sets).select("node", F.col("rows").alias("n"), "component", "component_id")
+    out = join_counted(placed, cut(named), "node", rows).select("key", "doc_id", "n_shingles", "component", "component_id")
+    bare = made.where("sig is null").select("key", "doc_id", "n_shingles", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("component_id"))
+    return out.union(bare)
+
+
+def _texts(docs: DataFrame, *keyed: Column) -> DataFrame:
+    return docs.select(F.xxhash64(*keyed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
+
+    Texts without words have an empty set and stand alone. Rows that share a doc_id are one document, whatever their texts: each has the size of
+    its own set, and all of them are in one class. A row without a doc_id is in the class of its set like any other; a class
+    without any doc_id has a null component, and its rows are all kept. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    """
+    found = _classes(_texts(docs, F.col("doc_id").cast("long"), F.col("text").cast("string")), percent, block)
+    alone = F.coalesce("component_id", F.when(F.col("component").isNull(), F.col("doc_id")))
+    return found.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without near copies: one row of each class, that of the smallest doc_id (ids before nulls, then
+    by a hash of the whole row). Rows without words stay, wholly equal ones once. Names of further columns cannot clash with those used here."""
+    columns = docs.columns
+    whole = [F.to_json(docs[f"`{c}`"]) if kind.startswith("map") else docs[f"`{c}`"] for c, kind in docs.dtypes]
+    found = _classes(_texts(docs, *whole), percent, block)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
+    best = found.where("component is not null").groupBy("component").agg(first).select(F.col("first.key").alias("key"))
+    kept = best.union(found.where("component is null").select("key").distinct())
+    rows = boxed(docs, F.xxhash64(*whole).alias("key"))
+    # the join deals rows by their key, so equal rows meet without another shuffle
+    return unboxed(rows.join(kept, "key", "left_semi").dropDuplicates(["key"]), columns)
 
 
 def _links(docs: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
+    members = clusters.count()
+    placed = join_counted(clusters, sizes, "component", members).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = placed.withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     meets = placed.select(
         "node", F.col("component").alias("cluster"), "mine", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
     ).select("node", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.expr("case when mine > other then 1 else 0 end").alias("side"))
-    slot = F.expr(f"cast(pmod(xxhash64(node), {FILTER_BITS}) as long)")
-    words = clusters.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    have = np.zeros(FILTER_BITS // 64, np.uint64)  # fixed size: at most FILTER_BITS / 64 rows come here, whatever the corpus
+    # the filter follows the candidates up to a fixed size; beyond it more texts pass, which the join drops
+    room = 1 << min(FILTER_MOST, max(FILTER_LEAST, (16 * members).bit_length()))
+    slot = lambda node: F.pmod(F.xxhash64(node), F.lit(room))
+    words = clusters.select(slot("node").alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    have = np.zeros(room // 64, np.uint64)
     for r in words.collect():
         have[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").withColumn("slot", slot)
-    sets = named.mapInArrow(_sets(have.tobytes()), "node long, shingles binary, registers binary")
+    sent = docs.sparkSession.sparkContext.broadcast(have)
+    sets = docs.select(F.col("key").alias("node"), "text", slot("key").alias("slot")).mapInArrow(_sets(sent), "node long, shingles binary, registers binary")
     dealt = meets.join(sets, "node").select("cluster", "i", "j", "node", "side", "shingles", "registers")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return dealt.mapInArrow(_confirm(percent), "a long, b long")
