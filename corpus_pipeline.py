@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.best_fit_packing import pack
-from tidemark.llm.common import ready, table
+from tidemark.llm.common import boxed, ready, table, unboxed
 from tidemark.llm.compression_bands import with_compression_verdict
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import one_of_each
 from tidemark.llm.pareto_mix import mix_rows
 from tidemark.llm.personal_data import redact
 from tidemark.llm.queries import tokenizer_path
@@ -23,29 +23,34 @@ NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the compression bands go."""
-    return with_compression_verdict(docs, "quality_verdict").where("quality_verdict.kept").select(*docs.columns)
+    """Documents that fail the base rules or the compression bands go.
+
+    Null and empty texts have no words and so go; repeated rows share their fate. Any further columns stay as they are, whatever their names.
+    """
+    rows = boxed(docs, F.col("text").cast("string").alias("text"))
+    return unboxed(with_compression_verdict(rows).where("verdict.kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, that of the smallest id; of repeated rows one stays too."""
-    kept = near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "text"])
+    """One row of each class of near copies stays, that of the smallest id; of repeated rows one stays too.
+
+    Ids come before nulls; among rows with one id a hash of the whole row decides. Rows without words are in no class and stay.
+    """
+    return one_of_each(docs, NEAR_PERCENT)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; every row stays. Null texts stay null."""
     return redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources meet their target words."""
+    """Documents are repeated or left out so that the sources meet their target words. Texts without words are never taken."""
     return mix_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences; a null text is its end alone."""
     return pack(docs, tokenizer_path())
 
 
