@@ -6,26 +6,26 @@ length class and reaches the target in sum: its whole part is certain, its fract
 the target is drawn by order sampling: documents are ranked by (U / (1 - U)) / (p / (1 - p)), U a hash of the id, and taken
 in that order while the words last; of those past the cut, the one that lands nearest to the target goes in, if any does.
 
-Ranks are cut with histograms: counts per (source, rank bin), then the documents of the single bin with the cut, so no
-task sorts a source.
+Ranks are cut with histograms of fixed size: words by (source, rank bin), then by finer bins within the bin of the cut, then
+the documents of the single bin that is left, so no task sorts a source.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, cut
+from tidemark.llm.common import WORD, boxed, cut, unboxed
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEAT = 1.5, 2.0
 LENGTH_BIAS = 0.15
 SEED = 20240501
-ROWS_PER_BIN = 1000
+#: Bins of the rank of a source, and again within the bin of the cut: 2 ** 24 of them in all.
+BINS = 1 << 12
 FEW_SOURCES = 20_000
 
 
@@ -85,6 +85,13 @@ def _uniform(*columns: str | Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(SEED), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def _cuts(rows: DataFrame, bins: str, need: DataFrame, few: bool) -> DataFrame:
+    """The bin of each source in which its documents, by rank, come to ``need`` words, and what is needed of that bin. At most BINS bins a source meet in a window."""
+    per_bin = rows.groupBy("source", F.col(bins).alias("cut_bin")).agg(F.sum("size").alias("words"))
+    run = per_bin.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("cut_bin")))
+    return cut(_with(run, need, small=few).where("upto > need and upto - words <= need").select("source", "cut_bin", (F.col("need") - F.col("upto") + F.col("words")).alias("spare")))
+
+
 def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source, ...)``.
 
@@ -115,22 +122,24 @@ def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
     drawn = drawn.withColumn("chance", F.when(F.col("size") > 0, chance).otherwise(0.0)).withColumn("open", F.col("chance") > 1e-9)
     # a monotone picture of the rank in [0, 1), for the bins
     drawn = cut(drawn.withColumn("rank", F.when(F.col("open"), rank / (1 + rank))))
-    bins = max(1, math.ceil(drawn.count() / ROWS_PER_BIN))
-    drawn = drawn.withColumn("bin", F.when(F.col("open"), F.least(F.lit(bins - 1), F.floor(F.col("rank") * bins))).otherwise(-1).cast("long"))
     whole = drawn.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    need = _with(aims, whole).select("source", (F.col("target") - F.col("certain")).alias("need"))
-    per_bin = drawn.where("open").groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    run = per_bin.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
-    cuts = _with(run, need, small=few).where("upto > need and upto - words <= need").select(
-        "source", F.col("bin").alias("cut_bin"), (F.col("need") - F.col("upto") + F.col("words")).alias("spare")
-    )
+    need = cut(_with(aims, whole).select("source", (F.col("target") - F.col("certain")).alias("need")))
+    coarse, fine = F.floor(F.col("rank") * BINS), F.floor(F.col("rank") * BINS * BINS)
+    drawn = drawn.withColumn("coarse", F.least(F.lit(BINS - 1), coarse)).withColumn("fine", F.least(F.lit(BINS * BINS - 1), fine))
+    first = _cuts(drawn.where("open"), "coarse", need, few)
+    within = _with(drawn.where("open"), first, small=few).where("coarse = cut_bin")
+    cuts = _cuts(within, "fine", first.select("source", F.col("spare").alias("need")), few)
+    # without a coarse cut all open documents go in; without a fine one the cut lies after the last document of the coarse bin
+    cuts = _with(first.select("source", F.col("cut_bin").alias("cut_coarse")), cuts, "left", few).select("source", "cut_coarse", F.col("cut_bin").alias("cut_fine"), "spare")
     marked = _with(drawn, cuts, "left", few)  # one row a source at most
-    inside = marked.where("open and bin = cut_bin")
+    at_cut = F.col("open") & F.col("fine").eqNullSafe(F.col("cut_fine"))
+    inside = marked.where(at_cut)
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "row")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = inside.withColumn("extra", (before + F.col("size") <= F.col("spare")).cast("long"))
-    rest = marked.where("not (open and bin <=> cut_bin)").withColumn("extra", F.expr("case when open and (cut_bin is null or bin < cut_bin) then 1L else 0L end"))
-    ranked = cut(rest.unionByName(inside).drop("bin", "cut_bin", "spare", "open", "copies"))
+    early = F.expr("cut_coarse is null or coarse < cut_coarse or (coarse = cut_coarse and (cut_fine is null or fine < cut_fine))")
+    rest = marked.where(~at_cut).withColumn("extra", (F.col("open") & early).cast("long"))
+    ranked = cut(rest.unionByName(inside).drop("coarse", "fine", "cut_coarse", "cut_fine", "spare", "open", "copies"))
     # of the documents past the cut, one goes in if it lands nearer to the target than none
     short = _with(need, ranked.groupBy("source").agg(F.sum(F.col("extra") * F.col("size")).alias("drawn"))).select("source", (F.col("need") - F.col("drawn")).alias("short"))
     over = _with(ranked.where("extra = 0 and chance > 1e-9"), short, small=few).withColumn("miss", F.abs(F.col("size") - F.col("short"))).where("miss < short")
@@ -140,17 +149,16 @@ def pareto_mix(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, bias: float = LENGTH_BIAS) -> DataFrame:
-    """``docs`` as the mix takes it: each row as often as its copies say, with its own columns.
+    """``docs`` as the mix takes it: each row as often as its copies say, with its own columns, whatever their names.
 
     Rows that agree in id, source and words share their copies evenly: the first ones, in no order, get the odd copy.
     """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     taken = pareto_mix(docs, bias).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum(F.expr("taken div size")).alias("copies"))
     taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies")
-    rows = docs.withColumn("row_size", size)
-    match = rows["doc_id"].cast("long").eqNullSafe(taken["mix_id"]) & rows["source"].cast("string").eqNullSafe(taken["mix_source"]) & (rows["row_size"] == taken["mix_size"])
-    joined = rows.join(taken, match)
+    rows = boxed(docs, F.col("doc_id").cast("long").alias("row_id"), F.col("source").cast("string").alias("row_source"), size.alias("row_size"))
+    match = rows["row_id"].eqNullSafe(taken["mix_id"]) & rows["row_source"].eqNullSafe(taken["mix_source"]) & (rows["row_size"] == taken["mix_size"])
     alike = Window.partitionBy("mix_id", "mix_source", "mix_size")
-    return joined.withColumn("alike", F.count("*").over(alike)).withColumn("nth", F.row_number().over(alike.orderBy(F.xxhash64("text")))).withColumn(
-        "times", F.expr("copies div alike + if(nth <= copies % alike, 1, 0)")
-    ).withColumn("copy", F.explode(F.expr("if(times > 0, sequence(1, cast(times as int)), array())"))).select(*docs.columns)
+    joined = rows.join(taken, match).withColumn("alike", F.count("*").over(alike)).withColumn("nth", F.row_number().over(alike.orderBy(F.xxhash64("doc.text"))))
+    times = joined.withColumn("times", F.expr("copies div alike + if(nth <= copies % alike, 1, 0)"))
+    return unboxed(times.withColumn("copy", F.explode(F.expr("if(times > 0, sequence(1, cast(times as int)), array())"))), docs.columns)
