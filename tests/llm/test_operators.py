@@ -2,13 +2,11 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,42 +356,6 @@ def test_language_model(spark, odd):
     assert all(r.bits_per_byte is None or r.bits_per_byte > 0 for r in got)
 
 
-def test_texts_adapt_as_they_go(spark):
-    """The closed form equals the product over the tokens in order, for frequent and for joined tokens."""
-    text = "red blue red red green red blue"
-    docs = spark.createDataFrame([(k, text if k == 6 else "red blue green yellow") for k in range(12)], "doc_id long, text string")
-    got = {r.doc_id: r for r in context_mixing.context_mixing_scores(docs).collect()}
-    words = context_mixing.vocabulary(docs.withColumn("learn", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1))
-    model = context_mixing.train(words)
-    tokens = [*text.encode().split(), b""]
-    p = dict(zip(tokens, 10 ** model.log10(pa.array(tokens, pa.binary()))))
-    each = []
-    for prior in context_mixing.PRIORS:
-        seen, odds = collections.Counter(), 1.0
-        for k, t in enumerate(tokens):
-            odds *= (prior * p[t] + seen[t]) / (prior + k)
-            seen[t] += 1
-        each.append(odds)
-    assert abs(got[6].score - np.log10(np.mean(each))) < 1e-6
-
-
-def test_log_gamma(spark):
-    z = np.array([1e-9, 0.3, 1.0, 2.5, 100.0, 1e6, 1e8])
-    want = [math.lgamma(x) for x in z]
-    assert np.allclose(context_mixing.log_gamma(z, np.log), want, rtol=1e-9, atol=1e-9)
-    rows = spark.createDataFrame([(float(x),) for x in z], "z double").select(context_mixing.log_gamma(F.col("z"), F.log)).collect()
-    assert np.allclose([r[0] for r in rows], want, rtol=1e-9, atol=1e-9)
-
-
-def test_token_probabilities():
-    counts = np.zeros((context_mixing.SLOTS, 2), np.float32)
-    words = [b"the", b"then", b"cat", b""]
-    context_mixing.add_counts(counts, pa.array(words, pa.large_binary()), np.array([50.0, 5, 10, 20]))
-    m = context_mixing.untrained(context_mixing.packed(counts))
-    p = m.log10(pa.array([*words, b"zqx"], pa.large_binary()))
-    assert p[0] > p[1] > p[4] and (10 ** p[:4]).sum() < 1.2
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name, tmp_path):
     for t in ("documents", "labels", "conversations", "embeddings"):

@@ -117,7 +117,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, _U(size) * _U(0x8CB92BA72F3D8DD7), np.uint64)
+    out = np.full(n, size * 0x8CB92BA72F3D8DD7 % 2**64, np.uint64)
     for k in range(size):
         out += hashes[k : n + k] * _STEP[k]
     return mix(out)
