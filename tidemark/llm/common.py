@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark deletes shuffles and checkpoints when their owners are collected on the driver; loops of many small jobs ask for that now
+    and then, as the cleaner itself does every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n", how: str = "inner") -> DataFrame:
     """Join on ``key`` when some keys have very many of the ``total`` rows of ``left``.
 
