@@ -46,3 +46,15 @@ def condensable(messages: DataFrame, keep: int, *order: Column | str) -> DataFra
     """Messages of a session older than its last ``keep``."""
     from_end = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
     return messages.withColumn("from_end", from_end).where(F.col("from_end") > keep).drop("from_end")
+
+
+def merge_clocks(a: Column, b: Column) -> Column:
+    """The larger tick of every node."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
+
+
+def compare_clocks(a: Column, b: Column) -> Column:
+    """``equal``, or the one that is nowhere behind (``a`` or ``b``), or ``concurrent``; a missing node stands at 0."""
+    differences = F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))))
+    ahead, behind = F.exists(differences, lambda d: d > 0), F.exists(differences, lambda d: d < 0)
+    return F.when(ahead & behind, "concurrent").when(ahead, "a").when(behind, "b").otherwise("equal")

@@ -106,3 +106,30 @@ def stage(ranked: DataFrame, core: int = 3, context: int = 5) -> DataFrame:
     rest = F.row_number().over(Window.partitionBy("is_core").orderBy(*order))
     level = F.when(F.col("is_core"), "core").when((F.col("score") >= 0.35) & (rest <= context), "context").otherwise("archive")
     return first.withColumn("stage", level).drop("is_core")
+
+
+#: Characters that a full-text query loses, and words that are no words of it.
+_QUERY_SIGNS, _QUERY_WORDS = '*()[]-+"%', ("AND", "OR", "NOT", "NEAR")
+
+
+def match_words(query: str) -> list[str]:
+    """The words a full-text query asks for; signs between them separate, words below three letters count only when alone."""
+    bare = "".join(" " if c in _QUERY_SIGNS + "?',.:" else c for c in query)
+    words = [w for w in bare.split() if w.upper() not in _QUERY_WORDS]
+    return [w.lower() for w in words if len(w) >= 3] or [w.lower() for w in words]
+
+
+def text_match(docs: DataFrame, query: str) -> DataFrame:
+    """Rows whose title or content holds every word of the query, whatever its case."""
+    text = F.lower(F.concat_ws("\n", "title", "content"))
+    for word in match_words(query):
+        docs = docs.where(F.contains(text, F.lit(word)))
+    return docs
+
+
+def place_signal(rows: DataFrame, name: str, by: str, base: float, span: float, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows of every ``by``, as a signal that falls from ``base`` by ``span`` with their place."""
+    window = Window.partitionBy(by)
+    ranked = rows.withColumn("place", F.row_number().over(window.orderBy(*order)) - 1).where(F.col("place") < n)
+    score = base - span * F.col("place") / F.count("*").over(window)
+    return ranked.select("entry_id", F.lit(name).alias("signal"), score.alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import edit_distance, jaccard, memory_type, space_words
+from tidemark.functions.text import edit_distance, jaccard, space_words
 from tidemark.operators import graphs, retrieval, store
 from tidemark.plans.registry import query
 from tidemark.sources.tables import EVENTS_SQL, MEMORIES_SQL, events, load, memories, messages
@@ -113,13 +113,6 @@ def w11_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return store.per_key(load(spark, sf, "documents").select("doc_id", "lang"), ["lang"], 10, "doc_id").drop("rn")
 
 
-@query("""SELECT doc_id AS entry_id, CASE WHEN regexp_matches(lower(text), '没有|从不|never|don''t have|no longer') THEN 'absence' WHEN regexp_matches(lower(text), '计划|打算|准备|will|going to|plan to') THEN 'plan'
- WHEN regexp_matches(lower(text), '喜欢|偏好|讨厌|prefer|like|hate') THEN 'preference' WHEN regexp_matches(lower(text), '朋友|同事|家人|friend|colleague|family') THEN 'relationship'
- WHEN regexp_matches(lower(text), '住在|工作|担任|在|lives in|works at') THEN 'state' ELSE 'event' END AS memory_type FROM documents""")
-def t02_memory_type(spark: SparkSession, sf: str) -> DataFrame:
-    return memories(spark, sf).select("entry_id", memory_type(F.col("content")).alias("memory_type"))
-
-
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct([x for x in string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+') if x <> '']) AS w FROM conversations)
 SELECT a.conv_id AS session_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard
 FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
@@ -177,23 +170,12 @@ def h06_temporal_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return memories(spark, sf).where("touched_at < created_at").select("entry_id", F.when(F.col("created_at") - F.col("touched_at") < 3600, "info").otherwise("warning").alias("severity"))
 
 
-@query(EV + "SELECT memory_id, kind, count(DISTINCT k) AS versions FROM ev GROUP BY memory_id, kind HAVING count(DISTINCT k) > 1")
-def h05_conflicting_state(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).groupBy("memory_id", "kind").agg(F.countDistinct("k").alias("versions")).where("versions > 1")
-
-
 @query(EV + 'SELECT memory_id, arg_max(k, ("at", event_id % 3, event_id)) AS k, arg_max(event_id % 3, ("at", event_id % 3, event_id)) AS node FROM ev GROUP BY memory_id'.replace('arg_max(k, ("at", event_id % 3, event_id))', 'arg_max(k, row("at", event_id % 3, event_id))').replace('arg_max(event_id % 3, ("at", event_id % 3, event_id))', 'arg_max(event_id % 3, row("at", event_id % 3, event_id))'))
 def y05_last_writer_wins(spark: SparkSession, sf: str) -> DataFrame:
     version = F.struct("at", (F.col("event_id") % 3).alias("node"), "event_id", "k")
     return events(spark, sf).groupBy("memory_id").agg(F.max(version).alias("v")).select("memory_id", "v.k", "v.node")
 
 
-@query(EV + "SELECT memory_id, max(event_id) FILTER (event_id % 3 = 0) AS n0, max(event_id) FILTER (event_id % 3 = 1) AS n1, max(event_id) FILTER (event_id % 3 = 2) AS n2 FROM ev GROUP BY memory_id")
-def x23_vector_clock_merge(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf)
-    return e.groupBy("memory_id").agg(*(F.max(F.when(F.col("event_id") % 3 == n, F.col("event_id"))).alias(f"n{n}") for n in range(3)))
-
-
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ALL")
 def rel_pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"), F.count("*").alias("n"))
