@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import cut
 
 
-def cooccurrence(members: DataFrame, group: str, item: str) -> DataFrame:
-    """``a, b, weight`` of unordered pairs of distinct items met in one group. Groups are small baskets here: pairs
-    are made inside the row of a group, so nothing is joined with itself."""
-    baskets = members.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return baskets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
+def cooccurrence(members: DataFrame, group: str, item: str, block: int = 64) -> DataFrame:
+    """``a, b, weight`` of unordered pairs of distinct items met in one group; null items meet nothing.
+
+    A group of more than ``block`` rows is dealt into blocks by a hash of the item, and every two of its blocks meet in a cell of their own, so that no row and no task
+    holds a large group; pairs are made inside the row of a cell.
+    """
+    sized = members.where(F.col(item).isNotNull()).select(group, F.col(item).alias("item"), F.count("*").over(Window.partitionBy(group)).alias("n"))
+    dealt = sized.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    met = dealt.select(group, "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = met.groupBy(group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
+        F.array_sort(F.collect_set(F.struct("item", "own"))).alias("items")
+    )
+    later = lambda x, i: F.filter(F.slice("items", i + 2, F.size("items")), lambda y: (F.col("low") == F.col("high")) | (x["own"] != y["own"]))
+    pairs = F.flatten(F.transform("items", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x["item"].alias("a"), y["item"].alias("b")))))
+    return cells.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
 
 
 def diminishing(pairs: DataFrame, base: float = 1.0) -> DataFrame:
@@ -30,10 +39,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.sum("weight").alias("weight"))
 
 
-def neighbours(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
-    """``node, depth``: least number of steps from the seeds, up to ``depth``. Each step is one join with the frontier, which
+def reached(ways: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
+    """``node, depth``: least number of steps from the seeds along ``ways(a, b)``, up to ``depth``. Each step is one join with the frontier, which
     is written before the next one: uncut, the plan would double at every step."""
-    ways = cut(both_ways(edges).select("a", "b"))
+    ways = cut(ways)
     seen = seed.select("node", F.lit(0).alias("depth"))
     frontier = seen
     for d in range(1, depth + 1):
@@ -43,6 +52,11 @@ def neighbours(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def neighbours(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
+    """``node, depth``: as ``reached``, along edges in both directions."""
+    return reached(both_ways(edges).select("a", "b"), seed, depth)
+
+
 def stats(edges: DataFrame) -> DataFrame:
     nodes = edges.select("a").union(edges.select("b")).distinct().agg(F.count("*").alias("n_nodes"))
     return edges.agg(F.count("*").alias("n_edges"), F.round(F.avg("weight"), 3).alias("mean_weight")).join(F.broadcast(nodes))  # one row each

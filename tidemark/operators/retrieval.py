@@ -133,3 +133,23 @@ def place_signal(rows: DataFrame, name: str, by: str, base: float, span: float,
     ranked = rows.withColumn("place", F.row_number().over(window.orderBy(*order)) - 1).where(F.col("place") < n)
     score = base - span * F.col("place") / F.count("*").over(window)
     return ranked.select("entry_id", F.lit(name).alias("signal"), score.alias("score"))
+
+
+def intent_score(now: Column, half_life: float = 30.0) -> Column:
+    """``score`` of a row after the bonus that ``intent`` gives it by ``memory_type, is_active, starts_at, ends_at`` (epoch seconds), at most 1.
+
+    The bonus halves every ``half_life`` days since the start; without an intent (``any``) the score stays.
+    """
+    kind, active, start, end = F.col("memory_type"), F.col("is_active"), F.col("starts_at"), F.col("ends_at")
+    ago, ahead, lasts = F.floor((now - start) / 86400), F.floor((start - now) / 86400), F.floor((F.coalesce(end, now) - start) / 86400)
+    none = F.lit(0.0)
+    bonus = (
+        F.when(F.col("intent") == "current_state", F.when((kind == "state") & active, 0.25).when(kind == "preference", 0.15).when(~active, -0.2).otherwise(0.0))
+        .when(F.col("intent") == "historical_range", F.when(kind == "event", 0.15).otherwise(0.0) + F.coalesce(0.05 * F.when(start.isNotNull(), F.least(ago / 30, F.lit(1.0))), none))
+        .when(F.col("intent") == "upcoming", F.when((kind == "plan") & active, 0.3).otherwise(0.0) + F.when(start > now, 0.1 * F.greatest(1 - ahead / 14, none)).otherwise(0.0))
+        .when(F.col("intent") == "duration", F.when((kind == "state") & start.isNotNull(), 0.1 * F.least(lasts / 365, F.lit(1.0))).otherwise(0.0))
+        .when(F.col("intent") == "specific_date", F.when(start.isNotNull(), 0.1).otherwise(0.0))
+        .otherwise(0.0)
+    )
+    faded = bonus * F.when(ago > 0, F.pow(F.lit(0.5), ago / half_life)).otherwise(1.0)
+    return F.when(F.col("intent") == "any", F.col("score")).otherwise(F.least(F.lit(1.0), F.col("score") + faded))

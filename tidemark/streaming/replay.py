@@ -19,7 +19,7 @@ def stream(spark: SparkSession, path: str, per_batch: int = 64) -> DataFrame:
     return feed.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(updates: DataFrame, keys: list[str]) -> DataFrame:
+def drain(updates: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run the stream over all that is there and return the last update of every key."""
     spark = updates.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -28,7 +28,7 @@ def drain(updates: DataFrame, keys: list[str]) -> DataFrame:
     def save(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
 
-    run = updates.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = updates.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     written = spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{folder}/out")
     return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
@@ -43,3 +43,8 @@ def windowed_counts(events: DataFrame, ts: str, width: str, late: str, *keys: st
 def current_state(events: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
     """Keyed state: the value of each key's last event by ``order``, whatever order they arrive in."""
     return events.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+
+
+def once(log: DataFrame, ts: str, late: str, key: str) -> DataFrame:
+    """A log that may deliver a row again, each key once; the state of a key is let go ``late`` after its time."""
+    return log.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark([key]).drop("_ts")
