@@ -62,14 +62,14 @@ def a13_media_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _media(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT page_id FROM pages WHERE contains(url, 'no-such-word')), f AS (SELECT page_id FROM pages WHERE contains(lower(html), 'nation') AND NOT EXISTS (SELECT 1 FROM p))
+@query("""WITH p AS (SELECT page_id FROM pages WHERE contains(url, 'no-such-word')), f AS (SELECT page_id FROM pages WHERE contains(lower(html), 'there') AND NOT EXISTS (SELECT 1 FROM p))
 SELECT page_id FROM p UNION SELECT page_id FROM f ORDER BY page_id DESC LIMIT 500""")
 def f09_media_search(spark: SparkSession, sf: str) -> DataFrame:
     """By address; only where that finds nothing, the newest by what they hold."""
     pages = load(spark, sf, "pages")
     first = pages.where(F.contains("url", F.lit("no-such-word"))).select("page_id")
     found = first.agg(F.count("*").alias("found"))  # one row
-    second = pages.where(F.contains(F.lower("html"), F.lit("nation"))).join(F.broadcast(found)).where("found = 0").select("page_id")
+    second = pages.where(F.contains(F.lower("html"), F.lit("there"))).join(F.broadcast(found)).where("found = 0").select("page_id")
     return store.top(first.union(second).distinct(), 500, F.desc("page_id"))
 
 
@@ -177,11 +177,11 @@ def k04_fused_top(spark: SparkSession, sf: str) -> DataFrame:
     return store.top(best.groupBy("entry_id").agg(F.round(F.sum("score"), 6).alias("score")), 10, F.desc("score"), "entry_id")
 
 
-@query(f"""{MEM}, h AS (SELECT entry_id, row_number() OVER (ORDER BY created_at DESC, entry_id) - 1 AS i FROM mem WHERE contains(lower(title || chr(10) || content), 'nation') ORDER BY created_at DESC, entry_id LIMIT 50)
+@query(f"""{MEM}, h AS (SELECT entry_id, row_number() OVER (ORDER BY created_at DESC, entry_id) - 1 AS i FROM mem WHERE contains(lower(title || chr(10) || content), 'there') ORDER BY created_at DESC, entry_id LIMIT 50)
 SELECT entry_id, round(1 - i / (SELECT count(*) FROM h)::DOUBLE * 0.5, 6) AS score FROM h""")
 def r10_semantic_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Without a model of meaning, the fifty newest text matches fall from 1 to 0.5 by place."""
-    hits = store.top(retrieval.text_match(memories(spark, sf), "nation").select("entry_id", "created_at"), 50, F.desc("created_at"), "entry_id").withColumn("one", F.lit(1))
+    hits = store.top(retrieval.text_match(memories(spark, sf), "there").select("entry_id", "created_at"), 50, F.desc("created_at"), "entry_id").withColumn("one", F.lit(1))
     return retrieval.place_signal(hits, "semantic", "one", 1.0, 0.5, 50, F.desc("created_at"), "entry_id").select("entry_id", F.round("score", 6).alias("score"))
 
 
