@@ -11,8 +11,8 @@ from tidemark.operators.lineage import cut
 def cooccurrence(members: DataFrame, group: str, item: str, block: int = 64) -> DataFrame:
     """``a, b, weight`` of unordered pairs of distinct items met in one group; null items meet nothing.
 
-    A group of more than ``block`` rows is dealt into blocks by a hash of the item, and every two of its blocks meet in a cell of their own, so that no row and no task
-    holds a large group; pairs are made inside the row of a cell.
+    A group of more than ``block`` rows is dealt into blocks by a hash of the item, and every two of its blocks meet in a cell of their own, so that no row
+    holds a large group; pairs are made inside the row of a cell. The rows of a group are still counted, and its cells made, by one task, which spills.
     """
     sized = members.where(F.col(item).isNotNull()).select(group, F.col(item).alias("item"), F.count("*").over(Window.partitionBy(group)).alias("n"))
     dealt = sized.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
