@@ -12,15 +12,18 @@ from tidemark.llm.best_fit_packing import pack
 from tidemark.llm.chat_format import digests, format_conversations, with_probe
 from tidemark.llm.common import fold, table
 from tidemark.llm.compression_bands import with_compression_verdict
+from tidemark.llm.filter_audit import audit
 from tidemark.llm.minimax_shards import minimax_shards
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.pareto_mix import pareto_mix
+from tidemark.llm.oracles import FILTER_AUDIT
+from tidemark.llm.stock_packing import stock_pack
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,14 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.context_mixing_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock_pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factor_quality": op2_factor_quality,
@@ -78,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_bands": op8_compression_bands,
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_context_mixing": op10_context_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_stock_packing": op13_stock_packing,
 }
 
-#: None of the ten can be said whole in SQL (sketches, compressors, learned weights, hashes of Spark); tests hold them to brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be said whole in SQL (sketches, compressors, tokenizers, learned weights, hashes of Spark); tests hold them to brute force.
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": FILTER_AUDIT}
