@@ -44,6 +44,12 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n", how: str = "inner") -> DataFrame:
     """Join on ``key`` when some keys have very many of the ``total`` rows of ``left``.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import audio_fingerprints, context_mixing, factor_quality, personal_data
 from tidemark.llm.best_fit_packing import pack
+from tidemark.llm.blocked_search import search
 from tidemark.llm.chat_format import digests, format_conversations, with_probe
 from tidemark.llm.common import fold, table
 from tidemark.llm.compression_bands import with_compression_verdict
@@ -16,7 +17,7 @@ from tidemark.llm.filter_audit import audit
 from tidemark.llm.minimax_shards import minimax_shards
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.pareto_mix import pareto_mix
-from tidemark.llm.oracles import FILTER_AUDIT
+from tidemark.llm.oracles import FILTER_AUDIT, LEXICAL_SEARCH
 from tidemark.llm.stock_packing import stock_pack
 
 
@@ -74,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stock_pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -90,8 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_context_mixing": op10_context_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_blocked_search": op12_blocked_search,
     "op13_stock_packing": op13_stock_packing,
 }
 
 #: The others cannot be said whole in SQL (sketches, compressors, tokenizers, learned weights, hashes of Spark); tests hold them to brute force.
-ORACLE_SQL: dict[str, str] = {"op11_filter_audit": FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": FILTER_AUDIT, "op12_blocked_search": LEXICAL_SEARCH}
