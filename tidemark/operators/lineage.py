@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is named (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The checkpoint folder of the session. Where none is named, a local session (tests) gets one of its own; on a cluster other machines
+    could not read that, so there it is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
-    return spark.sparkContext.getCheckpointDir()
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import search_tokens
+from tidemark.operators.lineage import cut
 
 K1, B = 1.5, 0.75
 #: Weights of the signals.
@@ -27,15 +28,21 @@ def query_tokens(query: str) -> Counter:
     return Counter(words + list(han) + [han[i : i + 2] for i in range(len(han) - 1)])
 
 
-def bm25(docs: DataFrame, query: str) -> DataFrame:
-    """``entry_id, score``, the best at 1; scores up to .01 go. The terms are filtered before any shuffle; only the
-    corpus size and mean length need the whole table, and they are one row."""
-    terms = query_tokens(query)
-    tokens = docs.select("entry_id", search_tokens(F.col("content")).alias("tokens"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
+def asked_postings(docs: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``entry_id, token, tf, dl`` of the terms asked for, and one row ``n, mean`` of the corpus: one scan of the texts, whatever the
+    number of terms and of signals that use them."""
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hits = tokens.select("entry_id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("token"))
-    tf = hits.groupBy("entry_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tokens = docs.select("entry_id", search_tokens(F.col("content")).alias("tokens"))
+    each = cut(tokens.select("entry_id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("hits")))
+    tf = each.select("entry_id", "dl", F.explode("hits").alias("token")).groupBy("entry_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return tf, each.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+
+
+def bm25(docs: DataFrame, query: str, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``entry_id, score``, the best at 1; scores up to .01 go. ``found``: postings of more terms than the query's, made before."""
+    terms = query_tokens(query)
+    tf, corpus = found or asked_postings(docs, list(terms))
+    tf = tf.where(F.col("token").isin(*terms))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     times = F.lit(1)
     for t, n in terms.items():
@@ -50,21 +57,16 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     return total.join(F.broadcast(best)).select("entry_id", (F.col("raw") / F.col("best")).alias("score")).where("score > 0.01")
 
 
-def bm25_signal(docs: DataFrame, query: str, n: int = 30) -> DataFrame:
-    best = bm25(docs, query).where("score > 0.1").orderBy(F.desc(F.round("score", 9)), "entry_id").limit(n)
+def bm25_signal(docs: DataFrame, query: str, n: int = 30, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    best = bm25(docs, query, found).where("score > 0.1").orderBy(F.desc(F.round("score", 9)), "entry_id").limit(n)
     return best.select("entry_id", F.lit("bm25").alias("signal"), (0.9 * F.col("score")).alias("score"))
 
 
-def keyword_signal(docs: DataFrame, words: list[str], n: int = 20) -> DataFrame:
+def keyword_signal(docs: DataFrame, words: list[str], n: int = 20, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """For each word the ``n`` rows with most occurrences: .8 falling to .5 by place, and .2 for containing it."""
-    count = lambda w: F.size(F.filter(search_tokens(F.col("content")), lambda t: t == w))
-    out = None
-    for w in words:
-        hits = docs.select("entry_id", count(w).alias("tf")).where("tf > 0").orderBy(F.desc("tf"), "entry_id").limit(n)
-        place = F.row_number().over(Window.orderBy(F.desc("tf"), "entry_id")) - 1  # at most n rows
-        hits = hits.select("entry_id", F.lit("keyword").alias("signal"), (0.8 - 0.3 * place / F.count("*").over(Window.partitionBy()) + 0.2).alias("score"))
-        out = hits if out is None else out.union(hits)
-    return out
+    tf, _ = found or asked_postings(docs, words)
+    hits = place_signal(tf.where(F.col("token").isin(*words)), "keyword", "token", 0.8, 0.3, n, F.desc("tf"), "entry_id")
+    return hits.withColumn("score", F.col("score") + 0.2)
 
 
 def fuse(signals: DataFrame, cap: float = 1.0) -> DataFrame:
@@ -81,9 +83,10 @@ def fuse(signals: DataFrame, cap: float = 1.0) -> DataFrame:
 def recall(docs: DataFrame, query: str, n: int = 20) -> DataFrame:
     """Hybrid search: BM25 and keyword signals, fused, the best ``n``."""
     words = [w for w in dict.fromkeys(re.findall(r"[a-z]{3,}", query.lower()))]
-    signals = bm25_signal(docs, query)
+    found = asked_postings(docs, [*dict.fromkeys([*query_tokens(query), *words])])
+    signals = bm25_signal(docs, query, found=found)
     if words:
-        signals = signals.union(keyword_signal(docs, words))
+        signals = signals.union(keyword_signal(docs, words, found=found))
     return fuse(signals).select("entry_id", F.round("score", 6).alias("score"), "n_signals").orderBy(F.desc("score"), "entry_id").limit(n)
 
 

@@ -67,7 +67,10 @@ SELECT entry_id, round(least(1.0, score), 6) AS score, n_signals FROM f WHERE en
 def r16_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Four signals, fused; R18: then only impressions stay (their ids end in three or more)."""
     rows = memories(spark, sf)
-    signals = retrieval.bm25_signal(rows, QUERY).union(retrieval.keyword_signal(rows, ["the", "nation", "and", "thing"])).union(_entity_signal(spark, sf)).union(_scope_signal(spark, sf))
+    words = ["the", "nation", "and", "thing"]
+    found = retrieval.asked_postings(rows, words)
+    signals = retrieval.bm25_signal(rows, QUERY, found=found).union(retrieval.keyword_signal(rows, words, found=found))
+    signals = signals.union(_entity_signal(spark, sf)).union(_scope_signal(spark, sf))
     fused = retrieval.fuse(signals).select("entry_id", F.round("score", 6).alias("score"), "n_signals")
     return fused.join(rows.where("tier = 'impression'").select("entry_id"), "entry_id", "left_semi")
 
