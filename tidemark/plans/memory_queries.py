@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import INTENTS, MEMORY_TYPES, NEGATIONS, intent, memory_type, space_words, state_key
-from tidemark.operators import duplicates, graphs, store
+from tidemark.functions.text import INTENTS, MEMORY_TYPES, NEGATIONS, intent, memory_type, space_words, state_key, word_runs
+from tidemark.operators import duplicates, graphs, question_search, store
+from tidemark.operators.lineage import cut
 from tidemark.plans.registry import query
 from tidemark.sources.tables import EVENTS_SQL, MEMORIES_SQL, events, load, memories, messages
 
@@ -118,31 +121,56 @@ def j12_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.similar_sets(_tokens(spark, sf).select("entry_id", "tokens"), 0.85).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(f"{_TOKENS_SQL} SELECT entry_id, min(entry_id) OVER (PARTITION BY list_sort(t)) AS keeps, count(*) OVER (PARTITION BY list_sort(t)) AS n FROM tk")
-def h03_duplicate_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """The class of every row: the smallest id with the same words, and its size."""
-    coded = duplicates.set_classes(_tokens(spark, sf))
+_CODED_SQL = f"{_TOKENS_SQL}, co AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY list_sort(t)) AS keeps, count(*) OVER (PARTITION BY list_sort(t)) AS n FROM tk)"
+
+
+def _same_words(spark: SparkSession, sf: str) -> DataFrame:
+    coded = cut(duplicates.set_classes(_tokens(spark, sf)).select("entry_id", "code"))  # token sets are made once, the codes met twice
     return coded.join(coded.groupBy("code").agg(F.min("entry_id").alias("keeps"), F.count("*").alias("n")), "code").select("entry_id", "keeps", "n")
 
 
-_RECENT_SQL = f"""{_TOKENS_SQL}, pl AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY entry_id) AS place FROM tk),
-ca AS (SELECT q.entry_id AS new_id, p.entry_id FROM pl q JOIN pl p ON p.scope_id = q.scope_id AND p.place BETWEEN q.place - 30 AND q.place - 1 WHERE q.entry_id % 50 = 0)"""
-_DECIDED_SQL = f"""{_RECENT_SQL}, sc AS (SELECT new_id, a.entry_id, round(1 - levenshtein(left(a.content, 500), left(b.content, 500)) / greatest(length(left(a.content, 500)), length(left(b.content, 500))), 6) AS s
+@query(f"{_CODED_SQL} SELECT entry_id, keeps, n FROM co")
+def h03_duplicate_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every row: the smallest id with the same words, and its size."""
+    return _same_words(spark, sf)
+
+
+#: Sets of runs of Latin letters or Han characters, as curation takes them; candidates are the thirty strongest of the scope and ten rows that hold all words of the title.
+_RUNS_SQL = f"{MEM}, tk AS (SELECT *, list_distinct(regexp_extract_all(lower(content), '[\\x{{4e00}}-\\x{{9fff}}]+|[a-z]+')) AS t FROM mem)"
+_CANDIDATES_SQL = f"""{_RUNS_SQL}, st AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY decay DESC, touched_at DESC, entry_id) AS place FROM tk),
+qw AS (SELECT entry_id AS new_id, unnest(list_distinct(regexp_extract_all(lower(left(title, 50)), '[a-z]{{3,}}'))) AS token FROM mem WHERE entry_id % 50 = 0),
+po AS (SELECT entry_id, token, count(*) AS tf FROM (SELECT entry_id, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS token FROM mem) WHERE token IN (SELECT token FROM qw) GROUP BY ALL),
+al AS (SELECT new_id, entry_id, sum(tf) AS tf FROM qw JOIN po USING (token) GROUP BY new_id, entry_id HAVING count(*) = (SELECT count(*) FROM qw w WHERE w.new_id = qw.new_id)),
+fu AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY tf DESC, entry_id) AS place FROM al),
+ca AS (SELECT q.entry_id AS new_id, p.entry_id FROM tk q JOIN st p ON p.scope_id = q.scope_id AND p.place <= 30 WHERE q.entry_id % 50 = 0 AND p.entry_id <> q.entry_id
+ UNION SELECT new_id, entry_id FROM fu WHERE place <= 10 AND entry_id <> new_id)"""
+#: The oracle's edit distance counts bytes, so each accented letter of the tables becomes one byte that no text holds.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = "".join(chr(k) for k in range(14, 32)) + ":;<"
+_START = lambda t: f"translate(left({t}.content, 500), '{_LETTERS}', '{_BYTES}')"
+_DECIDED_SQL = f"""{_CANDIDATES_SQL}, sc AS (SELECT new_id, a.entry_id, round(1 - levenshtein({_START('a')}, {_START('b')}) / greatest(length(left(a.content, 500)), length(left(b.content, 500))), 6) AS s
  FROM ca JOIN tk a ON a.entry_id = ca.entry_id JOIN tk b ON b.entry_id = ca.new_id WHERE {_JACCARD} >= 0.5),
 be AS (SELECT new_id, arg_max(entry_id, (s, -entry_id)) AS best_id, max(s) AS similarity FROM sc WHERE s >= 0.5 GROUP BY new_id),
 de AS (SELECT i.new_id, best_id, similarity, CASE WHEN similarity > 0.85 THEN 'skip' WHEN similarity > 0.65 THEN 'merge' ELSE 'insert' END AS decision FROM (SELECT DISTINCT new_id FROM ca) i LEFT JOIN be USING (new_id))"""
 
 
+def _candidates(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """The stated query set of a search (ids that 50 divides) against all rows: by scope and by the words of the title."""
+    titles = new.select(F.col("entry_id").alias("question_id"), F.left("title", F.lit(50)).alias("text"))
+    text = question_search.holding_all(question_search.write_postings(rows), question_search.question_tokens(titles), 10).where("question_id <> entry_id")
+    return duplicates.scope_candidates(rows, new, 30).union(text.select(F.col("question_id").alias("new_id"), "entry_id")).distinct()
+
+
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _tokens(spark, sf)
-    near = duplicates.recent_before(rows, rows.where("entry_id % 50 = 0"), 30)  # the stated query set of a search
-    return duplicates.decide(rows, near)
+    rows = memories(spark, sf)
+    near = cut(_candidates(rows, rows.where("entry_id % 50 = 0")))
+    return duplicates.decide(rows.withColumn("tokens", word_runs(F.col("content"))), near)
 
 
-@query(f"{_RECENT_SQL} SELECT new_id, entry_id FROM ca")
+@query(f"{_CANDIDATES_SQL} SELECT new_id, entry_id FROM ca")
 def j15_dedup_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _tokens(spark, sf)
-    return duplicates.recent_before(rows, rows.where("entry_id % 50 = 0"), 30)
+    rows = memories(spark, sf)
+    return _candidates(rows, rows.where("entry_id % 50 = 0"))
 
 
 @query(f"{_DECIDED_SQL} SELECT * FROM de")
@@ -156,40 +184,39 @@ def c03_smart_insert(spark: SparkSession, sf: str) -> DataFrame:
     return _decided(spark, sf).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-_WRITE_SQL = f"""{_RECENT_SQL}, sc AS (SELECT new_id, max({_JACCARD}) AS s FROM ca JOIN tk a ON a.entry_id = ca.entry_id JOIN tk b ON b.entry_id = ca.new_id GROUP BY new_id)"""
+_WRITE_SQL = f"""{MEM}, tk AS (SELECT *, list_distinct([x FOR x IN string_split_regex(lower(content), '[ \\t\\n\\r\\f\\v]+') IF x <> '']) AS t FROM mem),
+re AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY touched_at DESC, entry_id) AS place FROM tk WHERE length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 20),
+sc AS (SELECT b.entry_id AS new_id, a.entry_id, {_JACCARD} AS s FROM tk b JOIN re a ON a.tier = b.tier AND a.place <= 500 AND a.entry_id <> b.entry_id WHERE b.entry_id % 50 = 0 AND least(len(a.t), len(b.t)) > 0.7 * greatest(len(a.t), len(b.t)))"""
 
 
-@query(f"{_WRITE_SQL} SELECT new_id, CASE WHEN s > 0.85 THEN 'warning' ELSE 'info' END AS level FROM sc WHERE s > 0.7")
+@query(f"{_WRITE_SQL} SELECT new_id, entry_id, CASE WHEN s > 0.85 THEN 'warning' ELSE 'info' END AS level FROM sc WHERE s > 0.7")
 def j14_write_check(spark: SparkSession, sf: str) -> DataFrame:
-    """New rows that overlap one of the 30 before them: above .85 a warning, above .7 a note."""
-    rows = _tokens(spark, sf)
-    near = duplicates.recent_before(rows, rows.where("entry_id % 50 = 0"), 30)
-    new = rows.select(F.col("entry_id").alias("new_id"), F.col("tokens").alias("new_tokens"))
-    overlap = F.size(F.array_intersect("tokens", "new_tokens")) / F.size(F.array_union("tokens", "new_tokens"))
-    best = near.join(new, "new_id").join(rows.select("entry_id", "tokens"), "entry_id").groupBy("new_id").agg(F.max(overlap).alias("s"))
-    return best.where("s > 0.7").select("new_id", F.when(F.col("s") > 0.85, "warning").otherwise("info").alias("level"))
+    """The stated query set (ids that 50 divides), as if written now, against the 500 rows of its tier touched last: above .85 a warning, above .7 a note."""
+    rows = memories(spark, sf).withColumn("tokens", space_words(F.col("content")))
+    return duplicates.recent_overlaps(rows, rows.where("entry_id % 50 = 0")).select("new_id", "entry_id", F.when(F.col("overlap") > 0.85, "warning").otherwise("info").alias("level"))
 
 
 # ---- contradictions and healing ----
 
 _PAIRS_SQL = ", ".join(f"('{p}', '{n}')" for p, n in NEGATIONS)
 _FLAGS_SQL = f"""{MEM}, ng AS (SELECT * FROM (VALUES {_PAIRS_SQL}) v(pos, neg)),
-fl AS (SELECT entry_id, tier, pos || '/' || neg AS pair, contains(content, pos) AS p, contains(content, neg) AS n FROM mem, ng WHERE length(content) >= 30 AND (contains(content, pos) OR contains(content, neg)))"""
+ba AS (SELECT entry_id, tier, lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS content FROM mem),
+fl AS (SELECT entry_id, tier, pos || '/' || neg AS pair, contains(content, pos) AS p, contains(content, neg) AS n FROM ba, ng WHERE length(content) >= 30 AND (contains(content, pos) OR contains(content, neg)))"""
 
 
-@query(f"""{_FLAGS_SQL}, su AS (SELECT tier, pair, count(*) FILTER (p AND NOT n) AS x, count(*) FILTER (n AND NOT p) AS y, count(*) FILTER (p AND n) AS z FROM fl GROUP BY ALL)
-SELECT tier, pair, CAST(x * y + x * z + y * z + z * (z - 1) // 2 AS BIGINT) AS n_pairs FROM su WHERE x * y + x * z + y * z + z * (z - 1) // 2 > 0""")
+@query(f"""{_FLAGS_SQL}, su AS (SELECT tier, pair, count(*) FILTER (p AND NOT n) AS x, count(*) FILTER (n AND NOT p) AS y, count(*) FILTER (p AND n) AS z, min(entry_id) FILTER (p) AS first_pos, min(entry_id) FILTER (n) AS first_neg FROM fl GROUP BY ALL)
+SELECT tier, pair, CAST(x * y + x * z + y * z + z * (z - 1) // 2 AS BIGINT) AS n_pairs, first_pos, first_neg FROM su WHERE x * y + x * z + y * z + z * (z - 1) // 2 > 0""")
 def j13_contradictions(spark: SparkSession, sf: str) -> DataFrame:
     """How many pairs of a tier contradict each other on each expression; the pairs themselves grow with the square and are never made."""
     return duplicates.contradiction_counts(memories(spark, sf))
 
 
-@query(f"""{MEM}, sh AS (SELECT l.conv_id, l.turn, l.text AS a, r.text AS b FROM conversations l JOIN conversations r ON r.conv_id = l.conv_id AND r.turn = l.turn + 1),
+@query(f"""{MEM}, sh AS (SELECT l.conv_id, l.turn, lower(l.text) AS a, lower(r.text) AS b FROM conversations l JOIN conversations r ON r.conv_id = l.conv_id AND r.turn = l.turn + 1),
 ng AS (SELECT * FROM (VALUES {_PAIRS_SQL}) v(pos, neg))
 SELECT conv_id AS session_id, turn, pos || '/' || neg AS pair, count(*) AS n FROM sh, ng WHERE (contains(a, pos) AND contains(b, neg)) OR (contains(a, neg) AND contains(b, pos)) GROUP BY ALL""")
 def x22_contradiction(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring messages of a session that contradict each other, by expression."""
-    rows = messages(spark, sf)
+    rows = messages(spark, sf).withColumn("content", duplicates.bare(F.col("content")))
     after = rows.select("session_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("after"))
     holds = lambda c, x: F.contains(c, F.lit(x))
     hits = [F.when((holds("content", p) & holds("after", n)) | (holds("content", n) & holds("after", p)), F.lit(f"{p}/{n}")) for p, n in NEGATIONS]
@@ -205,23 +232,41 @@ def h05_conflicting_state(spark: SparkSession, sf: str) -> DataFrame:
     return active.groupBy("key").agg(F.countDistinct("k").alias("n_values")).where("n_values > 1")
 
 
-_ISSUES_SQL = f"""{_TOKENS_SQL}, cl AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY list_sort(t)) AS keeps FROM tk),
+_ISSUES_SQL = f"""{_CODED_SQL}, {_FLAGS_SQL.removeprefix(MEM + ', ')}, {_STATES_SQL.removeprefix('WITH ')},
+la AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at" DESC, event_id DESC) AS back FROM st),
 mi AS (SELECT m.entry_id, m.entry_id + m.hits * 1000 AS ref FROM mem m WHERE hits > 0),
-iss AS (SELECT 'duplicate_content' AS kind, entry_id AS a, keeps AS b, 'warning' AS level FROM cl WHERE entry_id <> keeps
+iss AS (SELECT 'duplicate_content' AS kind, entry_id AS a, keeps AS b, 'warning' AS level FROM co WHERE entry_id <> keeps
  UNION ALL SELECT 'temporal_anomaly', entry_id, CAST(NULL AS BIGINT), CASE WHEN created_at - touched_at < 3600 THEN 'info' ELSE 'warning' END FROM mem WHERE touched_at < created_at
- UNION ALL SELECT 'missing_reference', entry_id, ref, 'warning' FROM mi WHERE ref NOT IN (SELECT entry_id FROM mem))"""
+ UNION ALL SELECT 'missing_reference', entry_id, ref, 'warning' FROM mi WHERE ref NOT IN (SELECT entry_id FROM mem)
+ UNION ALL SELECT 'contradictory_belief', min(entry_id) FILTER (p), min(entry_id) FILTER (n), 'warning' FROM fl GROUP BY tier, pair HAVING count(*) FILTER (p) > 0 AND count(*) FILTER (n) > 0 AND count(*) > 1
+ UNION ALL SELECT 'conflicting_state', max(event_id) FILTER (back = 1), max(event_id) FILTER (back = 2), 'warning' FROM la WHERE back <= 2 GROUP BY key HAVING count(DISTINCT k) > 1)"""
 
 
-def _issues(spark: SparkSession, sf: str) -> DataFrame:
+def _issues(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    """``kind, a, b, level`` of the detectors named, of all five if none is: the others are never planned."""
     rows = memories(spark, sf)
-    same = h03_duplicate_classes(spark, sf).where("entry_id <> keeps").select(F.lit("duplicate_content").alias("kind"), F.col("entry_id").alias("a"), F.col("keeps").alias("b"), F.lit("warning").alias("level"))
-    early = rows.where("touched_at < created_at").select(
-        F.lit("temporal_anomaly").alias("kind"), F.col("entry_id").alias("a"), F.lit(None).cast("long").alias("b"), F.when(F.col("created_at") - F.col("touched_at") < 3600, "info").otherwise("warning").alias("level")
-    )
-    refs = rows.where("hits > 0").select("entry_id", (F.col("entry_id") + F.col("hits") * 1000).alias("ref"))
-    gone = refs.join(rows.select(F.col("entry_id").alias("ref")), "ref", "left_anti")
-    gone = gone.select(F.lit("missing_reference").alias("kind"), F.col("entry_id").alias("a"), F.col("ref").alias("b"), F.lit("warning").alias("level"))
-    return same.union(early).union(gone)
+    issue = lambda kind, df, a, b, level="warning": df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.cast("long").alias("b"), (F.lit(level) if isinstance(level, str) else level).alias("level"))
+
+    def missing() -> DataFrame:
+        refs = rows.where("hits > 0").select("entry_id", (F.col("entry_id") + F.col("hits") * 1000).alias("ref"))
+        return issue("missing_reference", refs.join(rows.select(F.col("entry_id").alias("ref")), "ref", "left_anti"), "entry_id", F.col("ref"))
+
+    def states() -> DataFrame:
+        last = store.per_key(_states(spark, sf), ["key"], 2, F.desc("at"), F.desc("event_id"))
+        at = lambda k: F.max(F.when(F.col("rn") == k, F.col("event_id")))
+        return issue("conflicting_state", last.groupBy("key").agg(F.countDistinct("k").alias("n"), at(1).alias("a"), at(2).alias("b")).where("n > 1"), "a", F.col("b"))
+
+    early = F.when(F.col("created_at") - F.col("touched_at") < 3600, "info").otherwise("warning")
+    detectors = {
+        "duplicate_content": lambda: issue("duplicate_content", _same_words(spark, sf).where("entry_id <> keeps"), "entry_id", F.col("keeps")),
+        "temporal_anomaly": lambda: issue("temporal_anomaly", rows.where("touched_at < created_at"), "entry_id", F.lit(None), early),
+        "missing_reference": missing,
+        # pairs grow with the square of a group: one issue for each expression of a tier, named by the first rows that hold it and its negation
+        "contradictory_belief": lambda: issue("contradictory_belief", duplicates.contradiction_counts(rows), "first_pos", F.col("first_neg")),
+        "conflicting_state": states,
+    }
+    found = [make() for kind, make in detectors.items() if not kinds or kind in kinds]
+    return reduce(DataFrame.union, found)
 
 
 @query(f"{_ISSUES_SQL} SELECT kind, level, count(*) AS n, min(sha1(kind || ':' || a || ':' || coalesce(CAST(b AS VARCHAR), ''))) AS first_issue FROM iss GROUP BY ALL")
@@ -233,7 +278,7 @@ def h02_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_ISSUES_SQL} SELECT a AS entry_id, b AS ref FROM iss WHERE kind = 'missing_reference'")
 def h07_missing_reference(spark: SparkSession, sf: str) -> DataFrame:
-    return _issues(spark, sf).where("kind = 'missing_reference'").select(F.col("a").alias("entry_id"), F.col("b").alias("ref"))
+    return _issues(spark, sf, "missing_reference").select(F.col("a").alias("entry_id"), F.col("b").alias("ref"))
 
 
 @query(f"{_ISSUES_SQL} SELECT kind, a, b FROM iss WHERE level = 'warning' AND NOT (kind = 'missing_reference' AND a % 2 = 0)")
@@ -243,7 +288,7 @@ def h09_open_issues(spark: SparkSession, sf: str) -> DataFrame:
     rows = _issues(spark, sf)
     for column, value in wanted.items():
         rows = rows if value is None else rows.where(F.col(column) == value)
-    dismissed = _issues(spark, sf).where("kind = 'missing_reference' AND a % 2 = 0").select("kind", "a")
+    dismissed = _issues(spark, sf, "missing_reference").where("a % 2 = 0").select("kind", "a")
     return rows.join(dismissed, ["kind", "a"], "left_anti").select("kind", "a", "b")
 
 
@@ -468,8 +513,8 @@ def k03_tier_then_global(spark: SparkSession, sf: str) -> DataFrame:
 def w10_tiered_quota(spark: SparkSession, sf: str) -> DataFrame:
     """Of each scope the three strongest from .7 on are core, the next five from .35 on context, the rest archive."""
     order = (F.desc("decay"), F.asc("entry_id"))
-    first = memories(spark, sf).select("entry_id", "scope_id", "decay", F.row_number().over(Window.partitionBy("scope_id").orderBy(*order)).alias("place"))
-    core = (F.col("decay") >= 0.7) & (F.col("place") <= 3)
+    rows = memories(spark, sf).select("entry_id", "scope_id", "decay")
+    first = store.per_key(rows, ["scope_id"], 8, *order, rank="place").withColumn("core", (F.col("decay") >= 0.7) & (F.col("place") <= 3))  # core and context are among eight
     rest = F.row_number().over(Window.partitionBy("scope_id", "core").orderBy(*order))
     stage = F.when(F.col("core"), "core").when((F.col("decay") >= 0.35) & (rest <= 5), "context").otherwise("archive")
-    return first.withColumn("core", core).select("entry_id", stage.alias("stage"))
+    return rows.select("entry_id").join(first.select("entry_id", stage.alias("stage")), "entry_id", "left").fillna("archive", ["stage"])
