@@ -122,6 +122,13 @@ def match_words(query: str) -> list[str]:
     return [w.lower() for w in words if len(w) >= 3] or [w.lower() for w in words]
 
 
+def match_words_of(query: Column) -> Column:
+    """The words of a column of queries, as `match_words` takes them, short ones included."""
+    signs = "".join(f"\\{c}" for c in _QUERY_SIGNS + "?',.:")
+    words = F.filter(F.split(F.regexp_replace(query, f"[{signs}]", " "), r"\s+"), lambda w: (w != "") & ~F.upper(w).isin(*_QUERY_WORDS))
+    return F.transform(words, F.lower)
+
+
 def text_match(docs: DataFrame, query: str) -> DataFrame:
     """Rows whose title or content holds every word of the query, whatever its case."""
     text = F.lower(F.concat_ws("\n", "title", "content"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import question_search as qs
+from tidemark.operators import retrieval, trigram_index
 from tidemark.plans.memory_queries import _BELIEF_SQL, _beliefs, _entities
 from tidemark.plans.registry import query
 from tidemark.sources.tables import MEMORIES_SQL, load, memories
@@ -94,3 +95,37 @@ def r20_search(spark: SparkSession, sf: str) -> DataFrame:
     beliefs = _beliefs(spark, sf).where("superseded_at IS NULL").select(F.col("memory_id").alias("entry_id"), "confidence")
     links = rows.select("entry_id", F.floor(F.col("entry_id") / 2).alias("to_id"))
     return qs.search(qs.write_postings(rows), asked, rows, mentions, beliefs, links)
+
+
+# ---- trigrams ----
+
+#: Queries: the first words of every item; every tenth is a sign and a short word alone, which fall back to the text as it is.
+_QUERIES_SQL = r"""qu AS (SELECT item_id AS query_id, CASE WHEN item_id % 10 = 7 THEN 'is.' ELSE left(text, 12) || ' AND (of)' END AS text FROM benchmark),
+wo AS (SELECT DISTINCT query_id, lower(w) AS word FROM (SELECT query_id, unnest(string_split_regex(regexp_replace(text, '[*()\[\]+"%?'',.:-]', ' ', 'g'), '\s+')) AS w FROM qu) WHERE length(w) >= 3 AND upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR'))"""
+_PHRASES_SQL = f"""WITH {MEMORIES_SQL}, {_QUERIES_SQL}, tx AS (SELECT entry_id, created_at, title, content, lower(title || chr(10) || content) AS body, greatest(length(title) - 2, 0) + greatest(length(content) - 2, 0) AS len FROM mem),
+av AS (SELECT count(*) AS n, avg(len) AS mean FROM tx), dw AS (SELECT word, length(word) AS l, len([k FOR k IN range(1, length(word)) IF left(word, k) = right(word, k)]) > 0 AS laps FROM (SELECT DISTINCT word FROM wo)),
+he AS (SELECT word, l, laps, entry_id, len, body FROM dw JOIN tx ON contains(body, word)),
+hi AS (SELECT word, entry_id, len, CASE WHEN laps THEN len([i FOR i IN range(1, length(body) - l + 2) IF substr(body, i, l) = word]) ELSE (length(body) - length(replace(body, word, ''))) // l END AS times FROM he),
+fr AS (SELECT word, greatest(1e-6, ln((n - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM hi, av GROUP BY word, n)"""
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.when(F.col("item_id") % 10 == 7, "is.").otherwise(F.concat(F.left("text", F.lit(12)), F.lit(" AND (of)")))
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+
+
+@query(f"{_PHRASES_SQL} SELECT word, entry_id, times FROM hi")
+def r02_trigram_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that hold each word of the queries, found by their trigrams, and how often."""
+    words = _queries(spark, sf).select(F.explode(F.array_distinct(retrieval.match_words_of(F.col("text")))).alias("word")).where("length(word) >= 3")
+    return trigram_index.phrase_hits(trigram_index.write_index(memories(spark, sf)), words).select("word", "entry_id", F.col("times").cast("long").alias("times"))
+
+
+@query(f"""{_PHRASES_SQL}, me AS (SELECT query_id, entry_id, round(sum(idf * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM wo JOIN hi USING (word) JOIN fr USING (word), av
+ GROUP BY query_id, entry_id HAVING count(*) = (SELECT count(*) FROM wo w WHERE w.query_id = wo.query_id)),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place FROM me) WHERE place <= 20),
+li AS (SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, entry_id) AS place FROM qu JOIN tx ON contains(lower(content), lower(text)) OR contains(lower(title), lower(text)) WHERE query_id NOT IN (SELECT query_id FROM be))
+SELECT query_id, entry_id, score, place FROM be UNION ALL SELECT query_id, entry_id, 0.0, place FROM li WHERE place <= 20""")
+def r03_text_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty best entries of every query by phrase rank; the query as it is where its words find nothing."""
+    return trigram_index.ranked(trigram_index.write_index(memories(spark, sf)), _queries(spark, sf))
