@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -309,6 +310,11 @@ def test_chunks_judge_every_byte(spark):
     assert [r.doc_id for r in sorted(got) if r.verdict.kept] == [2, 5]
 
 
+def least_overlap(a, b):
+    shorter = min(len(a), len(b))
+    return max(1, min(audio_fingerprints.MIN_OVERLAP, shorter), math.ceil(audio_fingerprints.OVERLAP_SHARE * shorter))
+
+
 def test_audio(spark):
     rng = np.random.default_rng(6)
     vectors = [(k, [float(x) for x in rng.normal(size=64)]) for k in range(60)] + [(100, [0.0] * 3), (101, []), (None, [1.0] * 64)]
@@ -324,9 +330,10 @@ def test_audio_recall(spark):
     vectors = [[float(x) for x in rng.normal(size=64)] for _ in range(200)]
     held = [audio_fingerprints.fingerprint(audio_fingerprints.melody(v)) for v in vectors]
     asked = {(k, hiss): audio_fingerprints.fingerprint(audio_fingerprints.melody(vectors[k], *audio_fingerprints.QUERY_CUT, hiss=hiss)) for k in range(0, 200, 10) for hiss in (0.05, 0.5, 0.8, 1.0)}
-    least, truth = audio_fingerprints.MIN_OVERLAP, {}
+    truth = {}
     for q, a in enumerate(asked.values()):
         for r, b in enumerate(held):
+            least = least_overlap(a, b)
             for offset in range(least - len(a), len(b) - least + 1):
                 i, j = max(0, -offset), min(len(a), len(b) - offset)
                 error = np.bitwise_count(a[i:j] ^ b[i + offset : j + offset]).sum() / (32 * (j - i))
@@ -339,6 +346,15 @@ def test_audio_recall(spark):
     assert all(got[q, k][1] == 24 for q, (k, _) in enumerate(asked))
 
 
+def test_short_recordings_align_whole(spark):
+    """Equal recordings of a few integers are one class; a shorter one lies wholly in a longer one; a null or empty one gives nothing."""
+    rows = [(1, [5, 6, 7, 8, 9, 10]), (2, [5, 6, 7, 8, 9, 10]), (3, [5, 6, 7, 8, 9, 10]), (4, [-1] * 4), (5, []), (6, None), (None, [1] * 9)]
+    held = spark.createDataFrame(rows, "rec_id long, print array<int>")
+    asked = spark.createDataFrame([(8, [5, 6, 7, 8, 9, 10]), (9, [-1, -1])], "query_id long, print array<int>")
+    got = {(r.query_id, r.match_id): (r.copies, r.offset, r.bit_error) for r in audio_fingerprints.align(asked, held).collect()}
+    assert got[8, 1] == (3, 0, 0.0) and (9, 4) in got and not {m for _, m in got} & {2, 3, 5, 6, None}
+
+
 def test_audio_lengths(spark, monkeypatch):
     """Queries of several lengths and a recording longer than one transform: the same alignments as by brute force."""
     rng = np.random.default_rng(17)
@@ -348,7 +364,7 @@ def test_audio_lengths(spark, monkeypatch):
     want = set()
     for q, a in enumerate(asked):
         for r, b in enumerate(held):
-            least = max(1, min(audio_fingerprints.MIN_OVERLAP, len(a), len(b)))
+            least = least_overlap(a, b)
             for offset in range(least - len(a), len(b) - least + 1):
                 i, j = max(0, -offset), min(len(a), len(b) - offset)
                 differ = int(np.bitwise_count(a[i:j] ^ b[i + offset : j + offset]).sum())
