@@ -32,54 +32,82 @@ CLASSES = 256
 #: One piece in so many is in the reserve; at least so many pieces in the mean.
 RESERVE_SHARE, RESERVE_LEAST = 64, 16
 CELL_ROWS, MOST_CELLS = 500, 65536
-CACHE = 300_000
+CACHE = 500_000
 #: The linear program stops when its value is this near to the bound that the prices give.
 NEAR_ENOUGH = 3e-4
 
-#: Texts of these characters are split by a plain pattern below: composed Latin letters, whose lower case is one letter, and ASCII.
-_PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-įı-ž]*")
+#: Texts of these characters are split by a plain pattern below: composed Latin letters, whose lower case is one letter, and ASCII without
+#: the four signs that only Python takes for white space.
+_PLAIN = re.compile(r"[\x00-\x1B\x20-\x7FÀ-ÖØ-öø-įı-ž]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^ \t\n\v\f\ra-z0-9ß-öø-ž]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _splits_words(path: str) -> bool:
-    """The file lower-cases and then codes each match of the word pattern by itself, so that ids of words can be remembered."""
+def _codes_words(path: str) -> dict | None:
+    """The model's part of the file, if it lower-cases and then codes each match of the word pattern by itself, as bytes."""
     with open(path) as f:
         parts = json.load(f)
     try:
         steps = [x["type"] for x in parts["normalizer"]["normalizers"]]
-        split = parts["pre_tokenizer"]["pretokenizers"][0]
-        return steps == ["NFC", "Replace", "Lowercase"] and split["pattern"] == {"Regex": _SPLIT} and split["invert"] and split["behavior"] == "Removed" and parts["post_processor"] is None
-    except (KeyError, TypeError, IndexError):
-        return False
+        split, bytes_ = parts["pre_tokenizer"]["pretokenizers"]
+        splits = steps == ["NFC", "Replace", "Lowercase"] and split["pattern"] == {"Regex": _SPLIT} and split["invert"] and split["behavior"] == "Removed"
+        plain = bytes_["type"] == "ByteLevel" and not bytes_["add_prefix_space"] and not bytes_["use_regex"] and parts["post_processor"] is None
+        model = parts["model"]
+        merges_only = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        return model if splits and plain and merges_only else None
+    except (KeyError, TypeError, IndexError, ValueError):
+        return None
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones are themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Exact ids of the tokenizer file at ``path``; words are remembered where the file codes them one by one."""
-    from tokenizers import Tokenizer
+def encoder(path: str) -> Callable[[str], bytes]:
+    """Exact ids (little-endian, 32 bits) of the tokenizer file at ``path``. Where the file codes words one by one, runs between white space and their words
+    are remembered, and a new word goes to the file's model alone."""
+    from tokenizers import Tokenizer, models
 
     whole = Tokenizer.from_file(path)
-    plain = lambda text: whole.encode(text, add_special_tokens=False).ids
-    if not _splits_words(path):
-        return plain
+    coded = lambda text: np.array(whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    if not (parts := _codes_words(path)):
+        return coded
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    known: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
+    letters = _byte_letters()
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts["merges"]]
+    model = models.BPE(vocab=parts["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=parts["end_of_word_suffix"])  # words are remembered here
+    words: dict[str, bytes] = {}
+    runs: dict[str, bytes] = {}
+
+    def code(word: str) -> bytes:
+        got = words.get(word)
+        if got is None:
+            got = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(word.encode().decode("latin-1").translate(letters)))
+            if len(word) < 40:
+                if len(words) >= CACHE:
+                    words.clear()
+                words[word] = got
+        return got
+
+    def encode(text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or any(s in text for s in special):
-            return plain(text)
-        ids: list[int] = []
-        for word in _PIECE.findall(text.lower()):
-            got = known.get(word)
-            if got is None:
-                got = plain(word)
-                if len(word) < 40:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[word] = got
-            ids += got
-        return ids
+            return coded(text)
+        every = text.lower().split()
+        parts = []
+        for a in range(0, len(every), CACHE):
+            some = every[a : a + CACHE]
+            if new := set(some).difference(runs):
+                if len(runs) + len(new) > CACHE:
+                    runs.clear()
+                    new = set(some)
+                for run in new:
+                    runs[run] = b"".join(map(code, _PIECE.findall(run)))
+            parts += map(runs.__getitem__, some)
+        return b"".join(parts)
 
     return encode
 
@@ -94,12 +122,12 @@ def _cut_up(path: str, length: int, end: int, share: float):
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = np.array(encode(text.as_py() or "") + [end], "<u4")
-                for a in range(0, len(tokens), length):
-                    part = tokens[a : a + length]
-                    data = part.tobytes()
-                    spare = len(part) < length and _drawn(row, share)
-                    for column, value in zip(rows, (doc, a, len(part), zlib.crc32(data), len(tokens), spare, data if spare else None), strict=True):
+                tokens = encode(text.as_py() or "") + end.to_bytes(4, "little")
+                total = len(tokens) // 4
+                for a in range(0, total, length):
+                    data = tokens[4 * a : 4 * (a + length)]
+                    spare = len(data) < 4 * length and _drawn(row, share)
+                    for column, value in zip(rows, (doc, a, len(data) // 4, zlib.crc32(data), total, spare, data if spare else None), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spare", "ids"])
