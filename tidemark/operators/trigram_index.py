@@ -25,10 +25,16 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
-def occurrences(text: Column, word: Column) -> Column:
-    """At how many places the text holds the word; they may overlap."""
+def overlaps_itself(word: Column) -> Column:
+    """Whether two occurrences of the word can overlap: some beginning of it is also its end."""
+    return F.exists(F.sequence(F.lit(1), F.char_length(word) - 1), lambda k: F.left(word, k) == F.right(word, k))
+
+
+def occurrences(text: Column, word: Column, laps: Column) -> Column:
+    """At how many places the text holds the word; they may overlap, where ``laps`` says so. Other words are counted by what is left without them."""
     quoted = F.concat(F.lit("(?=(\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E))"))
-    return F.size(F.regexp_extract_all(text, quoted, F.lit(1)))
+    apart = ((F.char_length(text) - F.char_length(F.replace(text, word, F.lit("")))) / F.char_length(word)).cast("int")
+    return F.when(laps, F.size(F.regexp_extract_all(text, quoted, F.lit(1)))).otherwise(apart)
 
 
 @dataclass
@@ -56,13 +62,15 @@ def write_index(entries: DataFrame, folder: str | None = None) -> Trigrams:
 def phrase_hits(index: Trigrams, words: DataFrame) -> DataFrame:
     """``word, entry_id, times, length``: entries that hold each distinct word of ``words(word)``, of three letters or more.
 
-    An entry is a candidate when it has all grams of the word; only candidates' texts are read for the word.
+    An entry is a candidate when it has all grams of the word. A candidate's text is read once, for all its words together.
     """
-    asked = words.select("word").distinct().withColumn("grams", F.array_distinct(trigrams(F.col("word"))))
-    each = asked.select("word", F.size("grams").alias("wanted"), F.explode("grams").alias("gram"))
-    candidates = index.grams.join(each, "gram").groupBy("word", "entry_id").agg(F.count("*").alias("had"), F.first("wanted").alias("wanted")).where("had = wanted")
-    met = candidates.select("word", "entry_id").join(index.texts.select("entry_id", "text", "length"), "entry_id")
-    return met.select("word", "entry_id", occurrences(F.col("text"), F.col("word")).alias("times"), "length").where("times > 0")
+    asked = words.select("word").distinct().withColumns({"grams": F.array_distinct(trigrams(F.col("word"))), "laps": overlaps_itself(F.col("word"))})
+    each = asked.select(F.struct("word", "laps").alias("w"), F.size("grams").alias("wanted"), F.explode("grams").alias("gram"))
+    had = index.grams.join(each, "gram").groupBy("w", "entry_id").agg(F.count("*").alias("had"), F.first("wanted").alias("wanted")).where("had = wanted")
+    candidates = had.groupBy("entry_id").agg(F.collect_list("w").alias("ws"))  # of the words asked for
+    met = candidates.join(index.texts.select("entry_id", "text", "length"), "entry_id").select("entry_id", "text", "length", F.explode("ws").alias("w"))
+    times = occurrences(F.col("text"), F.col("w.word"), F.col("w.laps"))
+    return met.select(F.col("w.word").alias("word"), "entry_id", times.alias("times"), "length").where("times > 0")
 
 
 def ranked(index: Trigrams, queries: DataFrame, n: int = 20) -> DataFrame:
