@@ -57,6 +57,37 @@ def neighbours(edges: DataFrame, seed: DataFrame, depth: int) -> DataFrame:
     return reached(both_ways(edges).select("a", "b"), seed, depth)
 
 
+def parents(edges: DataFrame, source: DataFrame, depth: int) -> DataFrame:
+    """``node, depth, parent``: a tree of shortest paths from the nodes of ``source``, up to ``depth`` steps along edges in both directions. Of several parents the least
+    counts; sources have none. Each step joins the frontier alone and is written before the next one."""
+    ways = cut(both_ways(edges).select("a", "b"))
+    frontier = seen = source.select("node", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent")).where("node IS NOT NULL").distinct()
+    for d in range(1, depth + 1):
+        step = ways.join(frontier, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        frontier = cut(step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
+        seen = seen.union(frontier)
+    return seen
+
+
+def paths(edges: DataFrame, source: DataFrame, targets: DataFrame, depth: int = 6) -> DataFrame:
+    """``node, steps, path``: the nodes of a shortest path to each of the targets, source first; targets out of reach give no row.
+
+    The walk back is one join a step, from the deepest targets up, with the parents of one depth only.
+    """
+    tree = cut(parents(edges, source, depth))
+    ends = targets.select("node").distinct().join(tree, "node").select("node", F.col("depth").alias("steps"), "parent", F.array("node").alias("path"))
+    for d in range(depth - 1, -1, -1):
+        # the ends whose path begins at depth d + 1 go to their parents, the others wait; one join that keeps all, so that the plan grows by a step, not twofold
+        asks = F.when(F.col("steps") - F.size("path") == d, F.col("parent"))
+        level = tree.where(F.col("depth") == d).select(F.col("node").alias("asked"), F.col("parent").alias("above"))
+        moved = ends.withColumn("asks", asks).join(level, F.col("asks") == F.col("asked"), "left")
+        goes = F.col("asks").isNotNull()
+        ends = moved.select(
+            "node", "steps", F.when(goes, F.col("above")).otherwise(F.col("parent")).alias("parent"), F.when(goes, F.concat(F.array("asks"), "path")).otherwise(F.col("path")).alias("path")
+        )
+    return ends.select("node", "steps", "path")
+
+
 def stats(edges: DataFrame) -> DataFrame:
     nodes = edges.select("a").union(edges.select("b")).distinct().agg(F.count("*").alias("n_nodes"))
     return edges.agg(F.count("*").alias("n_edges"), F.round(F.avg("weight"), 3).alias("mean_weight")).join(F.broadcast(nodes))  # one row each
