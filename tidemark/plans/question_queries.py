@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import question_search as qs
-from tidemark.operators import retrieval, trigram_index
+from tidemark.operators import rendering, retrieval, trigram_index
 from tidemark.plans.memory_queries import _BELIEF_SQL, _beliefs, _entities
 from tidemark.plans.registry import query
 from tidemark.sources.tables import MEMORIES_SQL, load, memories
@@ -97,6 +97,24 @@ def r20_search(spark: SparkSession, sf: str) -> DataFrame:
     return qs.search(qs.write_postings(rows), asked, rows, mentions, beliefs, links)
 
 
+_RENDER_SQL = f"""{_SEARCH_SQL}, rp AS (SELECT question_id, entry_id, score, title, content, created_at, place, score >= 0.7 AND place <= 3 AS core FROM re JOIN mem USING (entry_id) WHERE place <= 20),
+sg AS (SELECT *, CASE WHEN core THEN 'core' WHEN score >= 0.35 AND row_number() OVER (PARTITION BY question_id, core ORDER BY place) <= 5 THEN 'context' ELSE 'archive' END AS stage FROM rp),
+nt AS (SELECT *, row_number() OVER (PARTITION BY question_id, stage ORDER BY place) AS nth FROM sg),
+tx AS (SELECT question_id, count(*) FILTER (stage = 'core') AS n_core, count(*) FILTER (stage = 'context') AS n_context, count(*) FILTER (stage = 'archive') AS n_archive,
+ coalesce('{rendering.SYSTEM_HEAD}' || chr(10) || string_agg(chr(10) || '记忆' || nth || ' (共振: ' || CAST(round_even(score * 100, 0) AS BIGINT) || '%): ' || content, chr(10) ORDER BY place) FILTER (stage = 'core'), '') AS system,
+ CASE WHEN count(*) FILTER (stage = 'core') > 0 THEN '[相关记忆]' || chr(10) ELSE '' END || coalesce(string_agg('• ' || title || ': ' || left(content, CASE stage WHEN 'core' THEN 200 ELSE 150 END), chr(10) ORDER BY place) FILTER (stage <> 'archive'), '') AS context,
+ coalesce('[历史参考]' || chr(10) || string_agg('· ' || title || ' (' || strftime(make_timestamp(created_at * 1000000), '%m-%d') || ')', chr(10) ORDER BY place) FILTER (stage = 'archive' AND nth <= 10), '') AS archive,
+ (sum(length(content)) + count(*) - 1) // 2 AS baseline_tokens FROM nt GROUP BY question_id),
+tk2 AS (SELECT *, (length(system) + length(context) + length(archive) + greatest(0, (system <> '')::INT + (context <> '')::INT + (archive <> '')::INT - 1)) // 2 AS tokens FROM tx)"""
+
+
+@query(f"""{_RENDER_SQL} SELECT question_id, n_core, n_context, n_archive, system, context, archive, CAST(tokens AS BIGINT) AS tokens, CAST(baseline_tokens AS BIGINT) AS baseline_tokens,
+ CASE WHEN baseline_tokens > 0 THEN greatest(0.0, round((1 - tokens::DOUBLE / baseline_tokens) * 100, 1)) ELSE 0.0 END AS saved FROM tk2""")
+def r28_rendered(spark: SparkSession, sf: str) -> DataFrame:
+    """The results of every question as the texts that go into its prompt."""
+    return rendering.rendered(r20_search(spark, sf).select("question_id", "entry_id", "score"), memories(spark, sf))
+
+
 # ---- trigrams ----
 
 #: Queries: the first words of every item; every tenth is a sign and a short word alone, which fall back to the text as it is.
