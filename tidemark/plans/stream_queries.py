@@ -13,7 +13,7 @@ from tidemark.operators.lineage import shared_folder
 from tidemark.plans.memory_queries import _STATES_SQL, TYPED_SQL
 from tidemark.plans.registry import query
 from tidemark.sources.tables import messages
-from tidemark.streaming import keyed_state, replay
+from tidemark.streaming import keyed_state, replay, sessions
 from tidemark.streaming.batch_store import BatchStore, plus, run
 
 EDGES, EDGE_COMBINE = "a bigint, b bigint, weight double, n bigint, last_at bigint", {"weight": plus, "n": plus, "last_at": F.greatest}
@@ -91,3 +91,18 @@ def d05_condensation_log(spark: SparkSession, sf: str) -> DataFrame:
     for k, some in enumerate((rows.where("turn < 4"), rows)):
         store.write(k, {"log_rows": condense(some, store.read("log_rows", LOG), keep=2)})
     return store.read("log_rows", LOG).drop("batch")
+
+
+#: Events of a user that lie no more than six hours apart are one session.
+GAP, LATE = 6 * 3_600_000_000, 365 * 86_400_000_000
+
+
+@query(f"""WITH o AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS since FROM events),
+s AS (SELECT *, sum(CASE WHEN since IS NULL OR since > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS nth FROM o)
+SELECT user_id AS key, min(us) AS start_at, max(us) AS end_at, count(*) AS n FROM s GROUP BY user_id, nth""")
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of the replayed events, merged from batch to batch."""
+    store = BatchStore(spark, _folder(spark, "sessions"))
+    feed = replay.stream(spark, f"{sf}/events.parquet", 1).select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    run(feed, store, sessions.session_tables(GAP, LATE))
+    return sessions.read_sessions(store).select("key", "start_at", "end_at", "n")
