@@ -94,6 +94,24 @@ def test_a_batch_that_fails_between_tables_is_not_seen(spark, tmp_path):
         assert seen() == (9, 18, {"entity": 9, "something": 9})
 
 
+def test_all_tables_of_a_write(spark, tmp_path):
+    store = BatchStore(spark, f"{tmp_path}/store")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    batches = [
+        [(1, "我住在上海，我觉得这里的天气很不错", "s"), (2, "garden castle river", "s"), (3, None, None)],
+        [(4, "我住在北京，肯定要长期安家了", "s"), (5, "castle garden", "t"), (6, "我住在杭州", "t"), (7, "", "s")],
+    ]
+    for _ in range(2):
+        for n, batch in enumerate(batches):
+            store.write(n, sq.memory_write(docs(batch), store))
+        assert {(r.a, r.b): r.weight for r in store.snapshot("cooccurrences", sq.MET).collect()} == {("castle", "garden"): 2}
+        states = {r.key: (r.newest, r.n) for r in store.snapshot("states", sq.STATES).collect()}
+        assert sorted(states.values()) == [(4, 2), (6, 1)] and all(":state:" in k for k in states)
+        said = {(r.entry_id, r.content, r.confidence) for r in store.read("beliefs", sq.BELIEFS).collect()}
+        assert said == {(1, "这里的天气很不错", "tentative"), (4, "要长期安家了", "confirmed")}
+        assert store.read("memories", sq.MEMORIES).count() == 7
+
+
 def test_empty_store(spark, tmp_path):
     store = BatchStore(spark, f"{tmp_path}/none")
     assert not store.read("memories", sq.MEMORIES).count() and not store.snapshot("label_counts", sq.COUNTS).count()

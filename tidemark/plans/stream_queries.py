@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import memory_type
+from tidemark.functions.extraction import BELIEFS as BELIEF_CUES
+from tidemark.functions.extraction import beliefs
+from tidemark.functions.text import memory_type, state_key
 from tidemark.operators.condensation import LOG, condense
+from tidemark.operators.graphs import cooccurrence
 from tidemark.operators.lineage import shared_folder
 from tidemark.plans.memory_queries import _STATES_SQL, TYPED_SQL
 from tidemark.plans.registry import query
@@ -18,6 +21,7 @@ from tidemark.streaming.batch_store import BatchStore, plus, run
 
 EDGES, EDGE_COMBINE = "a bigint, b bigint, weight double, n bigint, last_at bigint", {"weight": plus, "n": plus, "last_at": F.greatest}
 COUNTS, COUNT_COMBINE = "label string, n bigint", {"n": plus}
+MET, STATES, BELIEFS = "a string, b string, weight bigint", "key string, newest bigint, n bigint", "entry_id bigint, content string, confidence string"
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -54,14 +58,20 @@ def stream_edge_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memory_write(batch: DataFrame, store: BatchStore) -> dict[str, DataFrame]:
-    """What one batch of new memories writes: typed rows, the entity index, and how often each entity occurs."""
+    """All that one batch of new memories writes: typed rows, the entity index, how often each entity occurs and with which others, the beliefs that texts state, and
+    of every state key the newest memory and how many there were; all but the newest are closed. Ids rise with time."""
     rows = batch.select(F.col("doc_id").alias("entry_id"), F.col("source").alias("scope_id"), F.left("text", F.lit(80)).alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    typed = rows.withColumn("memory_type", memory_type(F.col("content")))
     labels = rows.select("entry_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]{6,})"), F.lit(1)))).alias("label"))
     counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+    keys = typed.where("memory_type = 'state'").groupBy(state_key(F.coalesce("scope_id", F.lit("")), F.col("content")).alias("key"))
     return {
-        "memories": rows.select("entry_id", "scope_id", memory_type(F.col("content")).alias("memory_type"), F.char_length("content").alias("chars")),
+        "memories": typed.select("entry_id", "scope_id", "memory_type", F.char_length("content").alias("chars")),
         "entities": labels,
         "label_counts": store.merged("label_counts", COUNTS, ["label"], counts, COUNT_COMBINE),
+        "cooccurrences": store.merged("cooccurrences", MET, ["a", "b"], cooccurrence(labels, "entry_id", "label"), {"weight": plus}),
+        "beliefs": rows.select("entry_id", F.inline(beliefs(F.col("content")))).select("entry_id", "content", "confidence"),
+        "states": store.merged("states", STATES, ["key"], keys.agg(F.max("entry_id").alias("newest"), F.count("*").alias("n")), {"newest": F.greatest, "n": plus}),
     }
 
 
@@ -79,6 +89,21 @@ def s06_composite_write(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("memory_type").agg(F.countDistinct("entry_id").alias("n_memories"), F.count("label").alias("n_links"), F.max("n").alias("most"))
 
 
+@query(f"""{TYPED_SQL}, el AS (SELECT entry_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z]{{6,}}'))) AS label FROM ty)
+SELECT 'met' AS item, x.label || ' ' || y.label AS name, count(*) AS n FROM el x JOIN el y ON x.entry_id = y.entry_id AND x.label < y.label GROUP BY ALL
+UNION ALL SELECT 'state', key, count(*) FROM ty WHERE memory_type = 'state' GROUP BY key
+UNION ALL SELECT 'belief', level, count(*) FROM (SELECT level, unnest(regexp_extract_all(content, cue, 1)) FROM ty, (VALUES {", ".join(f"('{level}', '{cue}')" for level, cue in BELIEF_CUES)}) c(level, cue)) GROUP BY level""")
+def s06_written_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What the write leaves in its merged tables and in the belief log."""
+    store = BatchStore(spark, _folder(spark, "written"))
+    run(replay.stream(spark, f"{sf}/documents.parquet", 1), store, memory_write)
+    named = lambda rows, item, name, n: rows.select(F.lit(item).alias("item"), name.alias("name"), n.alias("n"))
+    met = named(store.snapshot("cooccurrences", MET), "met", F.concat_ws(" ", "a", "b"), F.col("weight"))
+    states = named(store.snapshot("states", STATES), "state", F.col("key"), F.col("n"))
+    said = store.read("beliefs", BELIEFS).groupBy("confidence").agg(F.count("*").alias("n"))
+    return met.union(states).union(named(said, "belief", F.col("confidence"), F.col("n")))
+
+
 @query("""WITH m AS (SELECT conv_id AS session_id, coalesce(text, '') AS content, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations),
 r AS (SELECT session_id, place, content, CASE WHEN place <= (SELECT count(*) FROM m x WHERE x.session_id = m.session_id AND x.turn < 4) - 2 THEN 1 ELSE 2 END AS run FROM m
  WHERE place <= (SELECT count(*) FROM m x WHERE x.session_id = m.session_id) - 2)
