@@ -1,22 +1,27 @@
 """Harder cases: shared and missing ids, clashing names, exact capacities and draws, long texts, and scores bit by bit."""
 
 import collections
+import itertools
+import pathlib
 import random
 import struct
 import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from test_operators import WORD, base_spans, classes, shingles
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import bit_mixer, compression_bands, context_mixing, minimax_shards, near_dedup, pareto_mix, personal_data, word_code
 from tidemark.llm.common import table
+from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.textkernel import batches
 
 SF = "/root/testdata/sf0.001"
@@ -87,9 +92,34 @@ def test_pipeline(spark, tmp_path):
     clean = {r.doc_id: r for r in step[2][1](spark, kept, SF).collect()}
     assert set(clean) == want and all(not base_spans(r.text) for r in clean.values())
     assert all(clean[r.doc_id].text == r.text for r in rows if r.doc_id in want and not base_spans(r.text))
-    ran = corpus_pipeline.run(spark, SF).collect()
-    # the mix takes copies of kept documents only, and packing all of their tokens
-    assert {r.doc_id for r in ran} <= want and sum(r.length for r in ran) > 0
+    # the mix: targets of the sources by their kept words, and every row as often as the draw says
+    by = collections.defaultdict(list)
+    for r in clean.values():
+        by[r.source].append((r.doc_id, len(WORD.findall(r.text))))
+    names = sorted(by)
+    sizes = [sum(n for _, n in by[x]) for x in names]
+    aims = pareto_mix.spread(1.5 * sum(sizes), [(5, 2, 1)[k % 3] for k in range(len(names))], [2 * n for n in sizes])
+    times = {i: w // n for x, aim in zip(names, aims, strict=True) for (i, n), w in zip(by[x], draw(by[x], aim).values(), strict=True)}
+    mixed = step[3][1](spark, spark.createDataFrame(list(clean.values()), kept.schema), SF)
+    assert collections.Counter(mixed.collect()) == collections.Counter({clean[i]: n for i, n in times.items() if n})
+    # the packing: all ids of every copy, in pieces of 1,024 at most, each sequence filled without a gap
+    tok, pieces = Tokenizer.from_file(tokenizer_path()), collections.Counter()
+    for i, n in times.items():
+        ids = np.array([*tok.encode(clean[i].text, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            pieces[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += n
+    folders = lambda: set(pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("pipeline-*/*"))
+    before = folders()
+    ran, places = corpus_pipeline.run(spark, SF).collect(), collections.defaultdict(list)
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in ran) == +pieces
+    for r in ran:
+        places[r.sequence_id].append((r.offset, r.length))
+    for rows in places.values():
+        rows.sort()
+        assert [at for at, _ in rows] == [0, *itertools.accumulate(n for _, n in rows[:-1])] and sum(rows[-1]) <= 1024
+    # what was left of the stages is the last one alone
+    assert len(folders() - before) == 1
     for name in ("documents", "labels"):
         table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -141,42 +171,45 @@ def spark_hash(*values):
     return h - (1 << 64) if h >> 63 else h
 
 
+def draw(rows, target):
+    """Words that the mix takes of each (id, words) of one source, in plain Python: ranks, cut and closing document."""
+    grade = lambda size: int(np.floor(np.log2(size))) if size else -1
+    of = collections.defaultdict(list)
+    for _, size in rows:
+        of[grade(size)].append(size)
+    frame = pd.DataFrame([("s", g, sum(v), len(v), target) for g, v in of.items()], columns=["source", "grade", "words", "rows", "target"])
+    expected = dict(zip(frame["grade"], pareto_mix.copies(frame, pareto_mix.LENGTH_BIAS, 2.0)["copies"], strict=True))
+    want, ranks, need = {}, [], target
+    for i, size in rows:
+        c = expected[grade(size)]
+        whole = int(np.floor(c + 1e-9))
+        want[i] = whole * size
+        need -= whole * size
+        p = max(0.0, c - whole) if size else 0.0
+        if p > 1e-9:
+            u = (spark_hash(pareto_mix.SEED, i, size) % (1 << 52) + 0.5) / float(1 << 52)
+            ranks.append(((u / (1 - u)) / (p / (1 - p)), i, size))
+    said, late = 0, []
+    for rank, i, size in sorted(ranks):
+        if not late and said + size <= need:
+            said += size
+            want[i] += size
+        else:
+            late.append((abs(size - (need - said)), rank, i, size))
+    late = [x for x in late if x[0] < need - said]
+    if late:
+        want[min(late)[2]] += min(late)[3]
+    return want
+
+
 def test_draw_by_brute_force(spark):
-    """Ranks, cut and closing document of every source, in plain Python."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = {r.doc_id: r for r in pareto_mix.pareto_mix(docs).collect()}
     by = collections.defaultdict(list)
     for r in docs.collect():
         by[r.source].append((r.doc_id, got[r.doc_id]["size"]))
     for rows in by.values():
-        target, of = got[rows[0][0]].target, collections.defaultdict(list)
-        for i, size in rows:
-            of[int(np.floor(np.log2(size))) if size else -1].append(size)
-        import pandas as pd
-
-        frame = pd.DataFrame([("s", g, sum(v), len(v), target) for g, v in of.items()], columns=["source", "grade", "words", "rows", "target"])
-        expected = dict(zip(frame["grade"], pareto_mix.copies(frame, pareto_mix.LENGTH_BIAS, 2.0)["copies"], strict=True))
-        want, ranks, need = {}, [], target
-        for i, size in rows:
-            c = expected[int(np.floor(np.log2(size))) if size else -1]
-            whole = int(np.floor(c + 1e-9))
-            want[i] = whole * size
-            need -= whole * size
-            p = max(0.0, c - whole) if size else 0.0
-            if p > 1e-9:
-                u = (spark_hash(pareto_mix.SEED, i, size) % (1 << 52) + 0.5) / float(1 << 52)
-                ranks.append(((u / (1 - u)) / (p / (1 - p)), i, size))
-        said, late = 0, []
-        for rank, i, size in sorted(ranks):
-            if not late and said + size <= need:
-                said += size
-                want[i] += size
-            else:
-                late.append((abs(size - (need - said)), rank, i, size))
-        late = [x for x in late if x[0] < need - said]
-        if late:
-            want[min(late)[2]] += min(late)[3]
-        assert {i: got[i].taken for i, _ in rows} == want
+        assert {i: got[i].taken for i, _ in rows} == draw(rows, got[rows[0][0]].target)
 
 
 def test_many_numbers_in_one_text(spark):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import audio_fingerprints, chat_format, context_mixing, factor_quality, near_dedup, personal_data
 from tidemark.llm.best_fit_packing import LENGTH, pack, plan
 from tidemark.llm.chat_template import TemplateError, compile_template
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 from tidemark.llm.components import connected_components
 from tidemark.llm.compression_bands import CHUNK, CHUNKS, chunks_of, with_compression_verdict
 from tidemark.llm.minimax_shards import minimax_shards, smallest_capacity
@@ -109,6 +110,15 @@ def test_components(spark):
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
 
 
+def test_rounds_leave_one_checkpoint(spark):
+    """A chain takes many rounds; only the files of the last one stay, and the result can be read from them again."""
+    folder = pathlib.Path(cut(spark.range(1))._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")).parent
+    before = set(folder.iterdir())
+    out = connected_components(spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long"))
+    assert len(set(folder.iterdir()) - before) == 1
+    assert out.count() == 301 and out.where("component <> 0").count() == 0
+
+
 def test_quality(spark, odd):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     machine = factor_quality.train(docs, labels)

@@ -50,6 +50,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` made, once nothing reads it any more: Spark itself keeps them for ever by default."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        at = plan.rdd().getCheckpointFile()
+        if at.isDefined():
+            remove(df.sparkSession, at.get())
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n", how: str = "inner") -> DataFrame:
     """Join on ``key`` when some keys have very many of the ``total`` rows of ``left``.
 

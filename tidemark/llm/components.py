@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_counted, let_go
+from tidemark.llm.common import cut, forget, join_counted, let_go
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node. Nodes are of any ordered type.
 
-    Only a count and a checksum come to the driver. Every round is checkpointed, so a lost executor repeats one round at most, and then its files are let go. Nodes with very many
+    Only a count and a checksum come to the driver. Every round is checkpointed, so a lost executor repeats one round at most; the files of the round before are deleted then. Nodes with very many
     neighbours are joined by a broadcast of at most 2,000 rows (``join_counted``). Loops, repeated edges and nulls are dropped first;
     no edges give no rows.
     """
@@ -44,8 +44,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        edges = cut(_small_star(_large_star(edges, mark[0]), 2 * mark[0]))
+        last, edges = edges, cut(_small_star(_large_star(edges, mark[0]), 2 * mark[0]))
         before, mark = mark, _mark(edges)
+        forget(last)  # the next round stands on its own files
         let_go(edges.sparkSession)
         if mark == before:
             break
