@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.best_fit_packing import pack
-from tidemark.llm.common import boxed, ready, table, unboxed
+from tidemark.llm.common import boxed, ready, remove, table, unboxed
 from tidemark.llm.compression_bands import with_compression_verdict
 from tidemark.llm.near_dedup import one_of_each
 from tidemark.llm.pareto_mix import mix_rows
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared checkpoint folder and read again."""
+    """All stages over the documents; each is written to the shared checkpoint folder and read again.
+
+    A stage's files go when the next one is written; only those of the last written stage stay, as the result reads them.
+    """
     ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -76,4 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if k:
+                remove(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs
