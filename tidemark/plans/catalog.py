@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import retrieval
-from tidemark.plans import codec_queries, event_queries, extraction_queries, graph_queries, history_queries, log_queries, memory_queries, question_queries, registry, replica_queries, search_queries, store_queries, stream_queries  # noqa: F401  they register
+from tidemark.plans import codec_queries, condensation_queries, event_queries, extraction_queries, graph_queries, history_queries, log_queries, memory_queries, question_queries, registry, replica_queries, search_queries, store_queries, stream_queries  # noqa: F401  they register
 from tidemark.sources.tables import memories
 
 
