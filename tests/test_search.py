@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import space_words, word_runs
-from tidemark.operators import duplicates, question_search, trigram_index
+from tidemark.operators import duplicates, posting_blocks, question_search, trigram_index
 
 ENTRY = "entry_id long, tier string, scope_id string, title string, content string, decay double, hits long, created_at long, touched_at long"
 
@@ -67,6 +67,41 @@ def test_a_table_of_questions_is_the_questions_one_by_one(spark, entries):
     assert all(tier[r[1]] == "pattern" for r in together if r[0] == 2 and not r[4])
 
 
+def test_ids_that_repeat_are_one_entry(spark):
+    rows = [(1, "river stone"), (1, "river cloud"), (1, "stone"), (2, "river stone stone"), (3, "cloud"), (None, "river"), (3, "cloud river stone")]
+    frame = spark.createDataFrame([(i, 5 * (i or 1), t) for i, t in rows], "entry_id long, created_at long, content string")
+    asked = question_search.question_tokens(spark.createDataFrame([(7, "river stone"), (8, "cloud")], "question_id long, text string"))
+    postings = question_search.write_postings(frame)
+    # texts of one id and length count together, of other lengths apart: entry 1 holds river once (twice in its texts of two words), stone twice
+    assert {tuple(r) for r in question_search.holding_all(postings, asked, 5).collect()} == {(7, 2), (7, 3), (8, 1)}
+    raw = {}
+    docs = [(1, 4, "river stone river cloud"), (1, 1, "stone"), (2, 3, "river stone stone"), (3, 1, "cloud"), (None, 1, "river"), (3, 3, "cloud river stone")]
+    docs[0] = (1, 2, docs[0][2])
+    df = Counter(t for _, _, text in docs for t in set(text.split()))
+    mean = sum(len(t.split()) for _, t in rows) / len(rows)
+    for i, dl, text in docs:
+        for t in ("river", "stone"):
+            tf = text.split().count(t)
+            raw[i] = raw.get(i, 0) + (math.log((len(rows) - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean)) if tf else 0)
+    best = max(raw.values())
+    got = {r.entry_id: round(r.score, 9) for r in question_search.text_signals(postings, asked).where("signal = 'bm25' AND question_id = 7").collect()}
+    assert got == {i: round(0.9 * x / best, 9) for i, x in raw.items() if x / best > 0.1}
+
+
+def test_a_task_gives_the_first_entries_of_a_question_not_its_matches(spark):
+    frame = spark.range(20_000).selectExpr("id AS entry_id", "id AS created_at", "concat('river stone ', repeat('stone ', int(id % 50))) AS content").repartition(2)
+    tokens = question_search.question_tokens(spark.createDataFrame([(k, "river stone") for k in range(5)], "question_id long, text string"))
+    asked = posting_blocks.Asked.of(tokens.selectExpr("question_id", "token", "word", "1D AS weight").toArrow())
+    postings = question_search.write_postings(frame)
+    found = posting_blocks.first_found(postings.rows, asked, lambda tf, dl: tf / dl, newest=50, most=20, best=30, holding=10)
+    tasks = found.rdd.getNumPartitions()
+    assert found.count() <= tasks * (5 * (50 + 30 + 10) + 2 * 20)  # matches: 20,000 a question
+    newest = found.where("kind = 'newest' AND question_id = 3").orderBy(F.desc("place_by")).limit(50).collect()
+    assert [r.entry_id for r in newest] == list(range(19_999, 19_949, -1))
+    got = {(r.question_id, r.entry_id) for r in question_search.holding_all(postings, tokens, 10).collect()}
+    assert got == {(q, 49 + 50 * k) for q in range(5) for k in range(10)}
+
+
 def test_trigram_hits_are_those_that_contain(spark, entries):
     rows, frame = entries
     words = ["river", "ana", "anan", "住在北", "北京", "it", "the", "xxx", "nowhere"]
