@@ -102,6 +102,23 @@ def test_a_task_gives_the_first_entries_of_a_question_not_its_matches(spark):
     assert got == {(q, 49 + 50 * k) for q in range(5) for k in range(10)}
 
 
+def test_windows_of_time_meet_few_buckets(spark):
+    rng = random.Random(4)
+    times = [rng.randrange(0, 3_000_000) for _ in range(600)] + [7_200_000 + rng.randrange(0, 3600) for _ in range(400)] + [20_000_000 + k for k in range(3)] + [None]
+    frame = spark.createDataFrame(list(enumerate(times)), "entry_id long, created_at long")
+    windows = [(1, None, None), (2, 0, None), (3, None, 7_201_000), (4, 1_000_000, 2_000_000), (5, 2_999_000, 7_200_100), (6, 50, 40), (7, 8_000_000, 9_000_000), (8, None, 19_000_000), (9, 25_000_000, None)]
+    asked = spark.createDataFrame(windows, "question_id long, after long, before long")
+    want = set()
+    for q, after, before in windows:
+        inside = [(t, k) for k, t in enumerate(times) if t is not None and (after is not None or before is not None) and t >= (after if after is not None else t) and t <= (before if before is not None else t)]
+        want |= {(q, k) for _, k in sorted(inside, key=lambda x: (-x[0], x[1]))[:100]}
+    assert {(r.question_id, r.entry_id) for r in question_search.time_signal(asked, frame).collect()} == want
+    filled = spark.range(100_000).selectExpr("id AS bucket", "60L AS n")
+    spans = spark.createDataFrame([(1, 0, 99_998), (2, 99_990, 99_998), (3, 5, 5)], "question_id long, from long, top long")
+    got = {(r.question_id, r.bucket) for r in question_search._newest_buckets(spans, filled).collect()}
+    assert got == {(1, 99_998), (1, 99_997), (2, 99_998), (2, 99_997), (3, 5)}
+
+
 def test_trigram_hits_are_those_that_contain(spark, entries):
     rows, frame = entries
     words = ["river", "ana", "anan", "住在北", "北京", "it", "the", "xxx", "nowhere"]
