@@ -79,6 +79,20 @@ def test_pairs_in_blocks(spark):
         assert got == want
 
 
+def test_groups_and_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    dice = random.Random(5)
+    rows = [(dice.randrange(40), dice.randrange(60)) for _ in range(900)] + [(50, None), (None, 1), (None, 2)]
+    groups = collections.defaultdict(set)
+    for g, x in rows:
+        if x is not None:
+            groups[g].add(x)
+    want = collections.Counter(p for xs in groups.values() for p in itertools.combinations(sorted(xs), 2))
+    monkeypatch.setattr(graphs, "PART_ROWS", 50)
+    pairs = graphs.cooccurrence(spark.createDataFrame(rows, "g int, x int"), "g", "x")
+    assert {(r.a, r.b): r.weight for r in pairs.collect()} == want
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().toString()
+
+
 def test_intent_scores(spark):
     day, now = 86400, 100 * 86400
     rows = [

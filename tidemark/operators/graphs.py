@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import cut
 
+#: A task takes about so many rows of groups or pairs, where the number of tasks follows the input.
+PART_ROWS = 500_000
+
 
 def cooccurrence(members: DataFrame, group: str, item: str, block: int = 64) -> DataFrame:
     """``a, b, weight`` of unordered pairs of distinct items met in one group; null items meet nothing.
 
     A group of more than ``block`` rows is dealt into blocks by a hash of the item, and every two of its blocks meet in a cell of their own, so that no row
     holds a large group; pairs are made inside the row of a cell. The rows of a group are still counted, and its cells made, by one task, which spills.
+    Groups and then pairs are dealt to as many tasks as their numbers ask for, so that a task's memory does not grow with the input.
     """
+    n = F.col("n")
+    rows, made = (int(x or 0) for x in members.groupBy(group).agg(F.count(item).alias("n")).agg(F.sum(n), F.sum(n * (n - 1) / 2)).first())
+    parts = 1 + rows // PART_ROWS
+    members = members.repartition(parts, group) if parts > 1 else members
     sized = members.where(F.col(item).isNotNull()).select(group, F.col(item).alias("item"), F.count("*").over(Window.partitionBy(group)).alias("n"))
     dealt = sized.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     met = dealt.select(group, "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -22,7 +30,10 @@ def cooccurrence(members: DataFrame, group: str, item: str, block: int = 64) ->
     )
     later = lambda x, i: F.filter(F.slice("items", i + 2, F.size("items")), lambda y: (F.col("low") == F.col("high")) | (x["own"] != y["own"]))
     pairs = F.flatten(F.transform("items", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x["item"].alias("a"), y["item"].alias("b")))))
-    return cells.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
+    met = cells.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    if parts > 1:
+        met = met.repartition(1 + made // PART_ROWS, "a", "b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def diminishing(pairs: DataFrame, base: float = 1.0) -> DataFrame:
