@@ -307,3 +307,17 @@ def test_held_out_texts_cost_less_than_by_counts(spark):
     twice = set(copies[(copies.n == 2) & (copies.taught == 2)].doc_id)
     once = set(copies[copies.n == 1].doc_id)
     assert got[got.doc_id.isin(twice)].bits_per_byte.quantile(0.9) < got[got.doc_id.isin(once)].bits_per_byte.quantile(0.1)
+
+
+def test_every_token_teaches(spark, monkeypatch):
+    """The weights of the words learn from all bits of all training texts."""
+    made = {}
+    code_of, combined = context_mixing.code_of, context_mixing.combined
+    monkeypatch.setattr(context_mixing, "code_of", lambda *a: made.setdefault("code", code_of(*a)))
+    monkeypatch.setattr(context_mixing, "combined", lambda whole, got: made.setdefault("sums", []).append(got) or combined(whole, got))
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    context_mixing.context_mixing_scores(docs)
+    texts = pa.array([r.text or "" for r in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 1").collect()])
+    bits = sum(int(made["code"].size[word_code.tokens_of(w, made["code"]).sign].sum()) for _, _, w in batches(texts))
+    heft = made["sums"][0][2][1].reshape(-1, len(word_code.WORD_BITS))
+    assert heft[:, 0].sum() == bits > 0
