@@ -192,3 +192,18 @@ def test_write_check_warns(spark):
     got = {(r.new_id, r.entry_id): round(r.overlap, 3) for r in duplicates.recent_overlaps(frame, frame.where("entry_id = 1")).collect()}
     assert got == {(1, 2): 0.95, (1, 3): 0.75}
     assert not duplicates.recent_overlaps(frame, frame.where("entry_id = 1"), n=0).count()
+
+
+def test_trigram_hits_are_made_where_the_blocks_are_read(spark, entries, monkeypatch):
+    """No candidate is shuffled, words in chunks find the same, and blocks invert every gram, also of letters beyond 16 bits."""
+    _, frame = entries
+    index = trigram_index.write_index(frame)
+    words = spark.createDataFrame([(w,) for w in ("river", "anan", "住在北", "the", "nowhere")], "word string")
+    whole = trigram_index.phrase_hits(index, words)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(trigram_index, "CHUNK", 2)
+    assert sorted(whole.collect()) == sorted(trigram_index.phrase_hits(index, words).collect()) != []
+    texts = ["abab", "", "xy", "a😀b😀", "ab😀b"]
+    grams, begin, places = trigram_index.inverted(texts)
+    got = {(g, int(p)) for k, g in enumerate(grams) for p in places[begin[k] : begin[k + 1]]}
+    assert got == {(t[k : k + 3], d) for d, t in enumerate(texts) for k in range(len(t) - 2)} and trigram_index.inverted(["", ""])[0] == []
