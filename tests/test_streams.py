@@ -132,3 +132,17 @@ def test_condensing_twice_takes_each_message_once(spark, tmp_path):
         by.setdefault(r.session_id, []).extend(range(r.from_place, r.upto_place + 1))
     assert {s: sorted(p) for s, p in by.items()} == {s: list(range(1, 3 * s - 1)) for s in range(1, 4)} and total == 6
     assert next(r for r in log.collect() if r.session_id == 3 and r.from_place == 1).summary == "s3t0"
+
+
+def test_a_snapshot_reads_the_last_folder_of_a_bucket_alone(spark, tmp_path):
+    """However many batches there were, and also by a store that did not write them; an unfinished batch is left out."""
+    store = BatchStore(spark, f"{tmp_path}/store")
+    docs = lambda a, b: spark.createDataFrame([(k, "garden castle", "s") for k in range(a, b)], "doc_id long, text string, source string")
+    for k in range(3):
+        store.write(k, sq.memory_write(docs(2 * k, 2 * k + 2), store))
+    with pytest.raises(Exception, match="lost"):
+        store.write(3, sq.memory_write(docs(6, 8), store) | {"beliefs": docs(6, 8).select(F.raise_error(F.lit("lost")).alias("x"))})
+    for some in (store, BatchStore(spark, f"{tmp_path}/store")):
+        rows = some.snapshot("label_counts", sq.COUNTS)
+        assert {r.label: r.n for r in rows.collect()} == {"garden": 6, "castle": 6}
+        assert {f.split("batch=")[1].split("/")[0] for f in rows.inputFiles() if "label_counts" in f} == {"2"}

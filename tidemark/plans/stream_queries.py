@@ -12,7 +12,7 @@ from tidemark.functions.extraction import beliefs
 from tidemark.functions.text import memory_type, state_key
 from tidemark.operators.condensation import LOG, condense
 from tidemark.operators.graphs import cooccurrence
-from tidemark.operators.lineage import shared_folder
+from tidemark.operators.lineage import cut, shared_folder
 from tidemark.plans.memory_queries import _STATES_SQL, TYPED_SQL
 from tidemark.plans.registry import query
 from tidemark.sources.tables import messages
@@ -60,17 +60,22 @@ def stream_edge_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 def memory_write(batch: DataFrame, store: BatchStore) -> dict[str, DataFrame]:
     """All that one batch of new memories writes: typed rows, the entity index, how often each entity occurs and with which others, the beliefs that texts state, and
     of every state key the newest memory and how many there were; all but the newest are closed. Ids rise with time."""
-    rows = batch.select(F.col("doc_id").alias("entry_id"), F.col("source").alias("scope_id"), F.left("text", F.lit(80)).alias("title"), F.coalesce("text", F.lit("")).alias("content"))
-    typed = rows.withColumn("memory_type", memory_type(F.col("content")))
-    labels = rows.select("entry_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]{6,})"), F.lit(1)))).alias("label"))
+    # a batch is a file or two, so its texts are dealt to all tasks; each is read once, and what it gives is kept
+    dealt = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+    rows = dealt.select(F.col("doc_id").alias("entry_id"), F.col("source").alias("scope_id"), F.left("text", F.lit(80)).alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]{6,})"), F.lit(1)))
+    typed = rows.select("*", memory_type(F.col("content")).alias("memory_type"), words.alias("labels"), beliefs(F.col("content")).alias("beliefs"))
+    key = F.when(F.col("memory_type") == "state", state_key(F.coalesce("scope_id", F.lit("")), F.col("content")))
+    typed = cut(typed.select("entry_id", "scope_id", "memory_type", F.char_length("content").alias("chars"), "labels", "beliefs", key.alias("key")))
+    labels = typed.select("entry_id", F.explode("labels").alias("label"))
     counts = labels.groupBy("label").agg(F.count("*").alias("n"))
-    keys = typed.where("memory_type = 'state'").groupBy(state_key(F.coalesce("scope_id", F.lit("")), F.col("content")).alias("key"))
+    keys = typed.where("memory_type = 'state'").groupBy("key")
     return {
-        "memories": typed.select("entry_id", "scope_id", "memory_type", F.char_length("content").alias("chars")),
+        "memories": typed.select("entry_id", "scope_id", "memory_type", "chars"),
         "entities": labels,
         "label_counts": store.merged("label_counts", COUNTS, ["label"], counts, COUNT_COMBINE),
         "cooccurrences": store.merged("cooccurrences", MET, ["a", "b"], cooccurrence(labels, "entry_id", "label"), {"weight": plus}),
-        "beliefs": rows.select("entry_id", F.inline(beliefs(F.col("content")))).select("entry_id", "content", "confidence"),
+        "beliefs": typed.select("entry_id", F.inline("beliefs")).select("entry_id", "content", "confidence"),
         "states": store.merged("states", STATES, ["key"], keys.agg(F.max("entry_id").alias("newest"), F.count("*").alias("n")), {"newest": F.greatest, "n": plus}),
     }
 
@@ -83,7 +88,7 @@ SELECT memory_type, count(DISTINCT entry_id) AS n_memories, count(label) AS n_li
 def s06_composite_write(spark: SparkSession, sf: str) -> DataFrame:
     """New memories written with their entities and counts, all tables of a batch or none; read back joined."""
     store = BatchStore(spark, _folder(spark, "write"))
-    run(replay.stream(spark, f"{sf}/documents.parquet", 1), store, memory_write)
+    run(replay.stream(spark, f"{sf}/documents.parquet", 1), store, memory_write, once=True)
     rows, links, counts = store.read("memories", MEMORIES).drop("batch"), store.read("entities", ENTITIES).drop("batch"), store.snapshot("label_counts", COUNTS).select("label", "n")
     joined = rows.join(links, "entry_id", "left").join(counts, "label", "left")
     return joined.groupBy("memory_type").agg(F.countDistinct("entry_id").alias("n_memories"), F.count("label").alias("n_links"), F.max("n").alias("most"))
@@ -96,7 +101,7 @@ UNION ALL SELECT 'belief', level, count(*) FROM (SELECT level, unnest(regexp_ext
 def s06_written_tables(spark: SparkSession, sf: str) -> DataFrame:
     """What the write leaves in its merged tables and in the belief log."""
     store = BatchStore(spark, _folder(spark, "written"))
-    run(replay.stream(spark, f"{sf}/documents.parquet", 1), store, memory_write)
+    run(replay.stream(spark, f"{sf}/documents.parquet", 1), store, memory_write, once=True)
     named = lambda rows, item, name, n: rows.select(F.lit(item).alias("item"), name.alias("name"), n.alias("n"))
     met = named(store.snapshot("cooccurrences", MET), "met", F.concat_ws(" ", "a", "b"), F.col("weight"))
     states = named(store.snapshot("states", STATES), "state", F.col("key"), F.col("n"))
