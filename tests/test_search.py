@@ -207,3 +207,16 @@ def test_trigram_hits_are_made_where_the_blocks_are_read(spark, entries, monkeyp
     grams, begin, places = trigram_index.inverted(texts)
     got = {(g, int(p)) for k, g in enumerate(grams) for p in places[begin[k] : begin[k + 1]]}
     assert got == {(t[k : k + 3], d) for d, t in enumerate(texts) for k in range(len(t) - 2)} and trigram_index.inverted(["", ""])[0] == []
+
+
+def test_sets_of_frequent_tokens_meet_only_when_alike(spark, monkeypatch):
+    """All tokens are in a third of the sets; what is compared on full sets does not grow with the square of their number."""
+    cuts = []
+    cut = duplicates.cut
+    monkeypatch.setattr(duplicates, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
+    rng = random.Random(5)
+    rows = [(k, sorted(rng.sample([f"t{x}" for x in range(90)], 30))) for k in range(400)]
+    rows += [(1000 + k, sorted({*rows[k][1][1:], "new"})) for k in range(20)]  # 29 of 31
+    got = sorted((r.a, r.b) for r in duplicates.similar_sets(spark.createDataFrame(rows, "entry_id long, tokens array<string>"), 0.85).collect())
+    assert got == [(k, 1000 + k) for k in range(20)]
+    assert cuts[-1].columns == ["a", "b"] and cuts[-1].count() < 100  # of 88,000 pairs
