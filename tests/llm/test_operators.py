@@ -356,6 +356,38 @@ def test_audio_recall(spark):
     assert all(got[q, k][1] == 24 for q, (k, _) in enumerate(asked))
 
 
+def test_links_sum_up_all_alignments(spark):
+    """One row a recording: near copies that all ask, an equal one, lone ones, one of no fingerprint, no id and an id of two recordings."""
+    rng = np.random.default_rng(18)
+    some = lambda n=40: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    base = some()
+    near = [base ^ np.uint32(1 << k) for k in range(5)]
+    cut_short = [p[8:36] for p in near]
+    sounds = [(k, p, c) for k, (p, c) in enumerate(zip(near, cut_short, strict=True))] + [(6, near[2], None), (7, some(), some()), (8, some(), None), (9, some(0), some(0)), (None, base, base), (20, a := some(), a), (20, b := some(), b), (1000, some(), base)]
+    ints = lambda p: None if p is None else [int(x) for x in p.view(np.int32)]
+    frame = spark.createDataFrame([(k, ints(p), ints(c)) for k, p, c in sounds], "rec_id long, print array<int>, asked array<int>")
+    got = [tuple(r) for r in audio_fingerprints.links(frame).select("rec_id", "class_id", "copies", "component_id", "n_queries", "n_matches", "n_match_classes", "match_id", "offset").collect()]
+    want = [(k, k, 2 if k == 2 else 1, 0, 6, 6, 5, k, 8) for k in range(5)]
+    want += [(6, 2, 2, 0, 6, None, None, None, None), (7, 7, 1, 7, 0, 0, 0, None, None), (8, 8, 1, 8, 0, None, None, None, None), (9, None, None, None, 0, 0, 0, None, None), (None, None, None, None, 0, 0, 0, None, None)]
+    want += [(20, 20, 1, 20, 1, 1, 1, 20, 0)] * 2 + [(1000, 1000, 1, 0, 0, 6, 5, 0, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    pairs = audio_fingerprints.align(frame.select(F.col("rec_id").alias("query_id"), F.col("asked").alias("print")), frame.select("rec_id", "print")).collect()
+    assert sum(r.copies for r in pairs) == sum(r[4] for r in got) == sum(r[5] or 0 for r in got)
+
+
+def test_audio_rows_grow_as_the_table(spark, tmp_path):
+    """A group of near copies that all ask is one row each, not one row a pair."""
+    for n in (10, 20):
+        loud = np.random.default_rng(19).permutation(64).astype(float)
+        vectors = [(50 * k, [float(x) for x in loud + 9 * (np.arange(64) == k + 15)]) for k in range(n)]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = QUERIES["op9_audio_fingerprints"](spark, f"{tmp_path}/{n}").collect()
+        pairs = audio_fingerprints.align_vectors(spark.read.parquet(f"{tmp_path}/{n}/embeddings.parquet")).collect()
+        assert sorted(r.vec_id for r in got) == [v for v, _ in vectors] and {r.component_id for r in got} == {0}
+        assert sum(r.n_matches for r in got) == sum(r.n_queries for r in got) == n * n == sum(r.copies for r in pairs)
+        assert len(pairs) > 5 * n
+
+
 def test_short_recordings_align_whole(spark):
     """Equal recordings of a few integers are one class; a shorter one lies wholly in a longer one; a null or empty one gives nothing."""
     rows = [(1, [5, 6, 7, 8, 9, 10]), (2, [5, 6, 7, 8, 9, 10]), (3, [5, 6, 7, 8, 9, 10]), (4, [-1] * 4), (5, []), (6, None), (None, [1] * 9)]
