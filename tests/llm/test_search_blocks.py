@@ -1,8 +1,10 @@
 """Blocks of the searches of op9 and op12: bounded in memory, and nothing is lost at their edges."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import audio_fingerprints as af
+from tidemark.llm import blocked_search
 
 
 def test_queries_meet_recordings_in_small_blocks(monkeypatch):
@@ -32,3 +34,20 @@ def test_queries_meet_recordings_in_small_blocks(monkeypatch):
                     if differ <= af.MAX_ERROR * 32 * len(a):
                         want[q, r, o] = (32 * len(a) - differ, round(differ / (32 * len(a)), 9))
     assert got == want and len(want) > 200
+
+
+def test_a_file_of_the_index_holds_few_cells(spark, monkeypatch):
+    """A reader takes a file into memory at a time, so files are cut by what their cells weigh; what is found stays the same."""
+    rng = np.random.default_rng(7)
+    words = [f"word{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, 12))) for k in range(1500)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(rng.choice(words, 6))) for k in range(20)], "item_id long, text string")
+    want = sorted(map(tuple, blocked_search.search(docs, items).collect()))
+    folders = []
+    monkeypatch.setattr(blocked_search, "remove", lambda _, path: folders.append(path))
+    monkeypatch.setattr(blocked_search, "FILE_BYTES", 1)
+    monkeypatch.setattr(blocked_search, "CELL_ROWS", 32)
+    got = sorted(map(tuple, blocked_search.search(docs, items).collect()))
+    index = next(x for x in folders if x.endswith("/index"))
+    cells = spark.read.parquet(index).withColumn("file", F.input_file_name()).groupBy("file").count().collect()
+    assert got == want and len(cells) >= 40 and all(r["count"] == 1 for r in cells)

@@ -33,6 +33,8 @@ CENTRES = 64
 COORDINATES = 256
 #: Summary coordinates and terms that one pass may ask for; more items are searched in several passes.
 PASS_PAIRS = 2_000_000
+#: Bytes of the cells of a file of the index, about. Spark's reader takes up to a whole file into memory at a time, and a cell is a long row.
+FILE_BYTES = 32 << 20
 #: A term's weight times this is more than any score of it.
 SCALE = 1_000_000
 
@@ -305,7 +307,9 @@ def _one_pass(docs: DataFrame, asked: list, folder: str, top: int) -> DataFrame:
     spread = F.xxhash64("doc_id", "ranks")
     near = placed.withColumns({"decade": F.floor(F.log2("n") * 2), "spread": spread}).repartitionByRange("centre", "decade", "spread").sortWithinPartitions("centre", "decade", "spread")
     schema = "doc_ids array<long>, n array<long>, lengths array<int>, ranks array<int>, times array<int>, summary array<int>"
-    near.select("doc_id", "n", "ranks", "times").mapInArrow(_cells(work, rows), schema).write.parquet(f"{folder}/index")
+    postings = 8 * int(df.sum()) // max(1, documents)  # bytes a document
+    cells = max(1, FILE_BYTES // (4 * len(work.pairs) + (postings + 20) * rows))
+    near.select("doc_id", "n", "ranks", "times").mapInArrow(_cells(work, rows), schema).write.option("maxRecordsPerFile", cells).parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
 
     floor = np.zeros(len(asked), np.int64)
